@@ -14,7 +14,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x0A]] = True
 #: First bytes of characters that are no white space in any tokenizer's pattern.
 _BLACK = np.zeros(256, bool)
-_BLACK[[*range(0x21, 0x7F), *range(0xC3, 0xE0), *range(0xE4, 0xF5)]] = True
+#: Not "<", with which added tokens start: white space before those is the end of a text of its own.
+_BLACK[[*range(0x21, 0x3C), *range(0x3D, 0x7F), *range(0xC3, 0xE0), *range(0xE4, 0xF5)]] = True
 #: Pieces that a Python worker remembers.
 KEEP = 400_000
 _encoders: dict[str, PieceEncoder] = {}
