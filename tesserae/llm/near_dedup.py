@@ -6,7 +6,8 @@
 3. Candidates are verified in turn: of the signatures, batches of BATCH hashes are compared, and after each a pair goes
    whose posterior probability of a similarity of at least the threshold is under MISS. Survivors are verified on full sets.
 4. Buckets that still hold more than one component are compared in blocks, only between different components, with the
-   same verification, so no link is lost for want of a star's edge. Components of all links give each document its own.
+   same verification within the block, so no link is lost for want of a star's edge and only links leave the block.
+   Components of all links give each document its own.
 """
 
 from __future__ import annotations
@@ -175,10 +176,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = buckets.join(found, "id", "left").select("band", "key", "id", "size", F.coalesce("component", "id").alias("c"))
     parts = placed.groupBy("band", "key", "c").count().groupBy("band", "key").agg(F.count("*").alias("parts"), F.max(F.struct("count", "c"))["c"].alias("main"))
     parts = parts.where("parts > 1").select("band", "key", "main")
-    mixed = placed.join(parts, ["band", "key"]).withColumn("stray", F.col("c") != F.col("main")).join(sigs.select("id", "sig"), "id")
-    cross = stored(_cross(mixed, threshold).join(star, ["a", "b"], "left_anti"))
+    mixed = placed.join(parts, ["band", "key"]).withColumn("stray", F.col("c") != F.col("main")).join(sigs.select("id", "sig"), "id").join(rows, "id")
+    cross = stored(_cross(mixed, threshold, k, per_cent))
     if not cross.isEmpty():
-        links = stored(links.union(_verified(cross, rows, k, per_cent)))
+        links = stored(links.union(cross))
         found = components(links)
     out = packed(docs, _id=id_key(id_col), _th=F.xxhash64(text_of(text_col)))
     counts = signed.groupBy("id", "th").agg(F.max("n").alias("_n")).join(found, "id", "left")
@@ -187,33 +188,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return unpacked(both, docs.columns, n_shingles=F.col("_n"), component_id=id_back("_c"), kept=F.col("_id") == F.col("_c"))
 
 
-def _cross(mixed: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a < b) of different components in one bucket that survive, from (band, key, id, size, c, stray, sig).
+def _cross(mixed: DataFrame, threshold: float, k: int, per_cent: int) -> DataFrame:
+    """Links (a, b), confirmed on full sets, that join different components of a bucket; mixed has (band, key, id, size, c, stray, sig, text).
 
     A bucket's members fall into blocks of BLOCK in the mean by a hash of their ids. Strays, which are outside the bucket's
-    largest component, visit all its blocks; others stay in their own. A pair is looked at only in the first band in which it
-    is equal.
+    largest component, are compared with all members; each block of strays meets each block of members in a group of its
+    own, so a group's size is bounded. A pair is looked at only in the first band in which it is equal, and not once links
+    found in the group have joined its components.
     """
     n = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
-    dealt = mixed.withColumn("blocks", n).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    to = F.when(F.col("stray"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
-    dealt = dealt.withColumn("block", F.explode(to))
-    dealt = dealt.select("band", "key", "block", (F.col("own") == F.col("block")).alias("home"), "stray", "id", "c", "sig")
+    dealt = mixed.withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    blocks = F.sequence(F.lit(0), F.col("n") - 1)
+    as_target = F.transform(blocks, lambda b: F.struct(F.col("own").alias("mb"), b.alias("sb"), F.lit(True).alias("target"), (F.col("stray") & (b == F.col("own"))).alias("seeks")))
+    as_stray = F.transform(F.filter(blocks, lambda b: F.col("stray") & (b != F.col("own"))), lambda b: F.struct(b.alias("mb"), F.col("own").alias("sb"), F.lit(False).alias("target"), F.lit(True).alias("seeks")))
+    dealt = dealt.select("band", "key", "id", "c", "sig", "text", F.explode_outer(F.concat(as_target, as_stray)).alias("x")).select("band", "key", "x.*", "id", "c", "sig", "text")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         band = key[0].as_py()
         table = table.combine_chunks()
         sig = _table(table.column("sig").combine_chunks())
-        ids, c, home, stray = (np.asarray(table.column(x)) for x in ("id", "c", "home", "stray"))
-        there = np.flatnonzero(home)
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for i in np.flatnonzero(stray):
+        ids, c, target, seeks = (np.array(table.column(x)) for x in ("id", "c", "target", "seeks"))
+        values, bounds = distinct(*shingles(words_of(table.column("text").combine_chunks(), SPACES, lower=True), k))
+        size = np.diff(bounds)
+        there, found = np.flatnonzero(target), []
+        for i in np.flatnonzero(seeks):
             j = there[c[there] != c[i]]
             earlier = (sig[j, : band * ROWS] == sig[i, : band * ROWS]).reshape(len(j), band, ROWS).all(axis=2).any(axis=1)
             j = j[~earlier]
             j = j[surviving(np.broadcast_to(sig[i], (len(j), sig.shape[1])), sig[j], threshold)]
-            found.append((np.full(len(j), ids[i]), ids[j]))
-        a, b = (np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
+            if not len(j):
+                continue
+            own = values[bounds[i] : bounds[i + 1]]
+            theirs = values[spread(bounds[j], size[j])]
+            equal = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+            shared = np.add.reduceat(equal, np.cumsum(size[j]) - size[j], dtype=np.int64)
+            j = j[100 * shared >= per_cent * (size[i] + size[j] - shared)]
+            for x in j[np.unique(c[j], return_index=True)[1]]:
+                found.append((ids[i], ids[x]))
+            c[np.isin(c, c[j])] = c[i]
+        a, b = np.array(found, np.int64).reshape(-1, 2).T
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return dealt.groupBy("band", "key", "block").applyInArrow(compare, "a long, b long").where("a != b").distinct()
+    return dealt.groupBy("band", "key", "mb", "sb").applyInArrow(compare, "a long, b long").where("a != b").distinct()
