@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir, stored  # noqa: F401
+
 #: A null id takes part as the smallest long.
 NULL_ID = -(2**63)
 #: Bytes of text that a task works on at a time; one longer text is a slice of its own.
@@ -43,23 +43,6 @@ def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
     return df.select(*old, *[v.alias(n) for n, v in new.items() if n not in columns])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df as a table written to the shared folder and read again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of whole rows whose texts take at most `limit` bytes, or of one row."""
     for batch in batches:

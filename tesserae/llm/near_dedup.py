@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.connect import linked_components as components
 from .common import id_back, id_key, packed, slices, spread, stored, text_of, unpacked
-from .components import components
 from .words import SPACES, U, Words, mix, words_of
 
 SHINGLE, BANDS, ROWS, BATCH = 5, 24, 4, 16
@@ -207,7 +207,7 @@ def _cross(mixed: DataFrame, threshold: float, k: int, per_cent: int) -> DataFra
         band = key[0].as_py()
         table = table.combine_chunks()
         sig = _table(table.column("sig").combine_chunks())
-        ids, c, target, seeks = (np.array(table.column(x)) for x in ("id", "c", "target", "seeks"))
+        ids, c, target, seeks = (np.asarray(table.column(x)).copy() for x in ("id", "c", "target", "seeks"))
         values, bounds = distinct(*shingles(words_of(table.column("text").combine_chunks(), SPACES, lower=True), k))
         size = np.diff(bounds)
         there, found = np.flatnonzero(target), []
