@@ -67,7 +67,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder.of(tokenizer)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 8 << 20):
             out = encoder.encode(batch.column("text"))
             frames = [frame(doc, np.append(out.flat[a:b], np.uint32(end_id))) for doc, a, b in zip(batch.column("id").to_pylist(), out.bounds[:-1], out.bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])

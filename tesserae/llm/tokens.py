@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -16,14 +17,18 @@ _SPACE[[0x20, 0x0A]] = True
 _BLACK = np.zeros(256, bool)
 #: Not "<", with which added tokens start: white space before those is the end of a text of its own.
 _BLACK[[*range(0x21, 0x3C), *range(0x3D, 0x7F), *range(0xC3, 0xE0), *range(0xE4, 0xF5)]] = True
+_LETTER, _STOP = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_STOP[[0x2C, 0x2E]] = True
 #: Pieces that a Python worker remembers.
-KEEP = 400_000
+KEEP = 1_000_000
 _encoders: dict[str, PieceEncoder] = {}
 
 
 def piece_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Bounds of pieces that encode alone as they do in the text: a blank or line feed before a visible character starts
-    one, as patterns let no token go on over it; after a line feed there is another."""
+    one, as patterns let no token go on over it; after a line feed there is another, and so do a comma and a
+    full stop after a plain letter."""
     n = len(data)
     cut = np.zeros(n + 1, bool)
     if n:
@@ -32,6 +37,7 @@ def piece_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         lead[inner - 1] = False  # what follows is another text
         cut[:-2] |= lead
         cut[1:-1] |= lead & (data[:-1] == 0x0A)
+        cut[1:-1] |= _LETTER[data[:-1]] & _STOP[data[1:]]
     cut[offsets] = True
     return np.flatnonzero(cut)
 
@@ -86,12 +92,12 @@ class PieceEncoder:
 
     def plain(self, texts: list[str]) -> Ragged:
         """Straight from the tokenizer."""
-        rows, count = [], np.zeros(len(texts) + 1, np.int64)
+        flat, ends = array("I"), array("q", [0])
         for at in range(0, len(texts), 20_000):
             for e in self.tokenizer.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False):
-                count[len(rows) + 1] = len(ids := e.ids)
-                rows.append(np.array(ids, np.uint32))
-        return Ragged(np.concatenate(rows) if rows else np.zeros(0, np.uint32), np.cumsum(count))
+                flat.extend(e.ids)
+                ends.append(len(flat))
+        return Ragged(np.array(flat, np.uint32), np.array(ends, np.int64))
 
     def distinct(self, values: pa.Array) -> Ragged:
         """The ids of different strings, from memory where they are known."""
