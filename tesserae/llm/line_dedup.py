@@ -33,7 +33,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     smallest id. Rows of one id are one document for the count; each row keeps its own lines, so repeated rows give
     repeated results. An empty table gives an empty table. Columns named n_lines or n_dropped are replaced, others kept.
     """
-    rows = packed(docs, _id=id_key(id_col), _text=text_of(text_col))
+    rows = packed(docs, text_col, _id=id_key(id_col), _text=text_of(text_col))
     rows = rows.withColumn("_of", F.xxhash64("_text"))
     lines = rows.select("_id", "_of", F.posexplode_outer(F.split("_text", "\n", -1)).alias("_at", "_line"))
     lines = lines.withColumn("_key", line_key(F.col("_line"))).where(F.char_length("_key") >= min_chars)

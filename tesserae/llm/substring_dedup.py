@@ -23,6 +23,7 @@ from .common import id_key, packed, slices, spread, text_of, unpacked
 from .words import SPACES, U, Words, grams, mix, sliding_min, words_of
 
 WINDOW, K = 20, 8
+SIX = 6
 #: Texts looked at to find frequent prefixes, and how often such a one stands among them. This decides only where rows go.
 SAMPLE, OFTEN = 20_000, 64
 #: Bytes of text for each group's task.
@@ -71,7 +72,15 @@ def _batch(key: np.ndarray, anchor: np.ndarray, doc: np.ndarray, at: np.ndarray,
 
 
 def _blobs(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * values.itemsize).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+    """Runs of whole numbers as binaries, six bytes each: with the anchor's eight a window is known by 112 bits."""
+    raw = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SIX])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * SIX).astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
+
+
+def _numbers(raw: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(raw) // SIX, 8), np.uint8)
+    wide[:, :SIX] = raw.reshape(-1, SIX)
+    return wide.reshape(-1).view("<u8")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
@@ -104,7 +113,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             d, a, b = runs(doc[repeat], place[repeat], window)  # settled: they go through with n = 0
             if len(d):
                 spot = mix(d.view(np.uint64) ^ a.view(np.uint64))
-                yield _batch(spot, spot, d, a, np.zeros(len(d)), _blobs(b.astype("<u8"), np.arange(len(d) + 1)))
+                yield _batch(spot, spot, d, a, np.zeros(len(d)), _blobs(b, np.arange(len(d) + 1)))
             left = np.flatnonzero(first)
             if not len(left):
                 continue
@@ -115,7 +124,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             start = np.flatnonzero(step)
             bounds = np.append(start, len(left))
             rest = anchor[left[start]]
-            yield _batch(np.where(longer[start], whole[left[start]], rest), rest, doc[left[start]], place[left[start]], np.diff(bounds), _blobs(whole[left].astype("<u8"), bounds))
+            yield _batch(np.where(longer[start], whole[left[start]], rest), rest, doc[left[start]], place[left[start]], np.diff(bounds), _blobs(whole[left], bounds))
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -125,8 +134,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             anchor = np.asarray(batch.column("anchor")).view(np.uint64)
             raw = np.frombuffer(batch.column("windows").buffers()[2] or b"", np.uint8)
             off = np.frombuffer(batch.column("windows").buffers()[1], np.int32)[batch.column("windows").offset :][: batch.num_rows + 1]
-            values = np.frombuffer(raw[off[0] : off[-1]].tobytes(), "<u8")
-            place = (off[:-1] - off[0]) // 8
+            values = _numbers(raw[off[0] : off[-1]])
+            place = (off[:-1] - off[0]) // SIX
             done = np.flatnonzero(n == 0)
             if len(done):
                 yield _spans(doc[done], at[done], values[place[done]].astype(np.int64))
@@ -156,7 +165,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     columns n_words and n_removed are replaced, others kept. A very long text is a slice of its own.
     """
     spans = repeats(docs, id_col, text_col, window, k).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    rows = packed(docs, _id=id_key(id_col), _text=text_of(text_col))
+    rows = packed(docs, text_col, _id=id_key(id_col), _text=text_of(text_col))
     both = rows.join(spans.withColumnRenamed("id", "_id"), "_id", "left").select("_row", "_text", "_spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
