@@ -35,7 +35,7 @@ def chunk_bounds(data: np.ndarray, bounds: np.ndarray, offsets: np.ndarray) -> n
         seen = (seen << np.uint64(1)) + _GEAR[data[np.maximum(at - back, 0)]]
     top = np.uint64(64 - (CHUNK.bit_length() - 1))
     cut = np.zeros(len(bounds), bool)
-    cut[:-1] = mix(seen) >> top == 0
+    cut[:-1] = (mix(seen) >> top == 0) & (data[at - 1] != 0x0A)  # a line feed's piece stays with what follows
     cut[np.searchsorted(bounds, offsets)] = True
     cut[-1] = True
     return np.flatnonzero(cut)
