@@ -111,10 +111,10 @@ query(
 )
 query(
     "colocalization",
-    f"""WITH {CH} SELECT img, y AS label, count(*) AS n, round(corr(a, b), 6) AS pearson, round(regr_slope(b, a), 6) AS slope, round(sum(a * b) / sqrt(sum(a * a) * sum(b * b)), 6) AS overlap,
+    f"""WITH {CH} SELECT img, y AS label, count(*) AS n, round(covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0), 6) AS pearson, round(covar_pop(a, b) / nullif(var_pop(a), 0), 6) AS slope, round(sum(a * b) / nullif(sqrt(sum(a * a) * sum(b * b)), 0), 6) AS overlap,
 round(sum(a) FILTER (WHERE a > 0 AND b > 20) / sum(a) FILTER (WHERE a > 0), 6) AS m1, round(sum(b) FILTER (WHERE b > 0 AND a > 500) / sum(b) FILTER (WHERE b > 0), 6) AS m2, sum(a) AS sum_a, sum(b)::BIGINT AS sum_b FROM ch GROUP BY img, y""",
     lambda s, d: lat.channels(s, d).groupBy("img", F.col("y").alias("label")).agg(
-        F.count("*").alias("n"), F.round(F.corr("a", "b"), 6).alias("pearson"), F.round(F.regr_slope("b", "a"), 6).alias("slope"), F.round(F.sum(F.col("a") * F.col("b")) / F.sqrt(F.sum(F.col("a") * F.col("a")) * F.sum(F.col("b") * F.col("b"))), 6).alias("overlap"),
+        F.count("*").alias("n"), F.round(F.expr("covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0D)"), 6).alias("pearson"), F.round(F.expr("covar_pop(a, b) / nullif(var_pop(a), 0D)"), 6).alias("slope"), F.round(F.expr("sum(a * b) / nullif(sqrt(sum(a * a) * sum(b * b)), 0D)"), 6).alias("overlap"),
         F.round(F.sum(F.expr("case when a > 0 and b > 20 then a end")) / F.sum(F.expr("case when a > 0 then a end")), 6).alias("m1"), F.round(F.sum(F.expr("case when b > 0 and a > 500 then b end")) / F.sum(F.expr("case when b > 0 then b end")), 6).alias("m2"), F.sum("a").alias("sum_a"), F.sum("b").alias("sum_b"),
     ),
 )
