@@ -60,3 +60,19 @@ def overlap_assign(labels: DataFrame) -> DataFrame:
     best = joint.withColumn("r", F.row_number().over(Window.partitionBy("img", "a").orderBy(F.desc("n"), "b"))).where("r = 1").drop("r")
     out = best.join(size_a, ["img", "a"]).join(size_b, ["img", "b"])
     return out.select("img", "a", "b", "n", F.round(F.col("n") / F.col("na"), 6).alias("share"), F.round(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")), 6).alias("iou"))
+
+
+def agreement(labels: DataFrame, least: float) -> DataFrame:
+    """(img, a, b, n, iou, matched): pairs of objects that share at least that part of the smaller; matched if neither has another such partner."""
+    joint = contingency(labels.where("a != 0 and b != 0"))
+    size = lambda c: labels.where(F.col(c) != 0).groupBy("img", c).agg(F.count("*").alias(f"n{c}"))
+    pairs = joint.join(size("a"), ["img", "a"]).join(size("b"), ["img", "b"]).where(F.col("n") >= least * F.least("na", "nb"))
+    only = lambda c: F.count("*").over(Window.partitionBy("img", c)) == 1
+    return pairs.select("img", "a", "b", "n", F.round(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")), 6).alias("iou"), (only("a") & only("b")).alias("matched"))
+
+
+def contact_area(labels: DataFrame) -> DataFrame:
+    """(img, label, contact): faces of the label's cells behind which there is another label or none, the volume's own faces apart."""
+    pairs = faces(labels, "img", "label").where("label != label2")
+    both = pairs.select("img", "label").union(pairs.select("img", "label2"))
+    return both.where("label != 0").groupBy("img", "label").agg(F.count("*").alias("contact"))

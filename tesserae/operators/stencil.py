@@ -59,3 +59,33 @@ def running_median(vol: DataFrame, axis: str, radius: int = 1) -> DataFrame:
     """The middle of the cells within the radius along the axis, the upper one of an even number."""
     seen = F.sort_array(F.collect_list("v").over(line(axis).rowsBetween(-radius, radius)))
     return vol.withColumn("v", F.element_at(seen, (F.floor(F.size(seen) / 2) + 1).cast("int")))
+
+
+def rank(vol: DataFrame, share: float) -> DataFrame:
+    """The value of that rank (0 the least, 1 the largest) among the 27 cells around each; at an edge, where there are
+    fewer, the rank shrinks in proportion. Lists grow axis by axis, to 27 values at most."""
+    k = int(share * 26 + 0.5)
+    cells = vol.withColumn("l", F.array("v"))
+    for axis in AXES:
+        cells = cells.withColumn("l", F.flatten(F.collect_list("l").over(line(axis).rowsBetween(-1, 1))))
+    at = F.floor(F.lit(float(k)) * (F.size("l") - 1) / 26 + 0.5).cast("int") + 1
+    return cells.withColumn("v", F.element_at(F.sort_array("l"), at)).drop("l")
+
+
+def running_sum(vol: DataFrame) -> DataFrame:
+    """The sum of all cells up to and with each on every axis: box sums of any size are differences of eight of these."""
+    for axis in AXES:
+        vol = vol.withColumn("v", F.sum("v").over(line(axis).rowsBetween(Window.unboundedPreceding, 0)))
+    return vol
+
+
+def project(vol: DataFrame, axis: str) -> DataFrame:
+    """Largest, least and mean value along the axis."""
+    return vol.groupBy("img", *[a for a in AXES if a != axis]).agg(F.max("v").alias("largest"), F.min("v").alias("least"), F.avg("v").alias("mean"))
+
+
+def co_occurrence(vol: DataFrame, levels: int, top: float) -> DataFrame:
+    """(img, i, j, n): pairs of levels of cells next to each other along x; values from 0 to top fall into equal levels."""
+    level = F.least(F.floor(F.col("v") / (top / levels)), F.lit(levels - 1)).cast("int")
+    pair = vol.withColumn("i", level).withColumn("j", F.lead("i").over(line("x"))).where("j is not null")
+    return pair.groupBy("img", "i", "j").agg(F.count("*").alias("n"))

@@ -53,3 +53,59 @@ def equalise(vol: DataFrame, bins: int = 64) -> DataFrame:
     width = (F.col("hi") - F.col("lo")) / bins
     at = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(F.least(F.floor((F.col("v") - F.col("lo")) / F.when(width > 0, width)).cast("int"), F.lit(bins - 1)))
     return vol.join(span, "img").withColumn("bin", at).join(cdf, ["img", "bin"]).withColumn("v", F.when(F.col("hi") == F.col("lo"), F.lit(0.0)).otherwise(F.col("cdf"))).drop("bin", "cdf", "lo", "hi")
+
+
+def _first_best(scores: DataFrame) -> DataFrame:
+    """(img, threshold): the centre of the first bin with the best score."""
+    return scores.where("score is not null").groupBy("img").agg(F.max_by("centre", F.struct("score", -F.col("bin"))).alias("threshold"))
+
+
+def yen(vol: DataFrame, bins: int = 64) -> DataFrame:
+    """(img, threshold): the split with the largest correlation of the two classes; whole counts until the logarithm."""
+    upto = Window.partitionBy("img").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("img")
+    squares = F.col("n") * F.col("n")
+    s = histogram(vol, bins).select("img", "bin", "centre", F.sum("n").over(upto).alias("c"), F.sum(squares).over(upto).alias("q"), F.sum("n").over(whole).alias("nn"), F.sum(squares).over(whole).alias("qq"), F.count("*").over(whole).alias("bins"))
+    share = F.col("c") / F.col("nn")
+    spread = F.col("q") / (F.col("nn") * F.col("nn")) * ((F.col("qq") - F.col("q")) / (F.col("nn") * F.col("nn")))
+    split = F.when(F.expr("bin < bins - 1 and q > 0 and qq > q and c > 0 and c < nn"), F.round(-F.log(spread) + 2 * F.log(share * (1 - share)), 9))
+    return _first_best(s.withColumn("score", F.when(F.col("bins") == 1, F.lit(0.0)).otherwise(split)))
+
+
+def triangle(vol: DataFrame, bins: int = 64) -> DataFrame:
+    """(img, threshold): the bin farthest from the line between the last highest bin and the end of the longer tail.
+    Distances from one line compare like the areas they span, which are whole numbers."""
+    h = histogram(vol, bins)
+    ends = h.where("n > 0").groupBy("img").agg(F.max(F.struct("n", "bin")).alias("peak"), F.min(F.struct("bin", "n")).alias("first"), F.max(F.struct("bin", "n")).alias("last"))
+    ends = ends.withColumn("end", F.when(F.expr("peak.bin - first.bin >= last.bin - peak.bin"), F.col("last")).otherwise(F.col("first")))
+    area = F.expr("abs((peak.n - end.n) * (bin - end.bin) - (peak.bin - end.bin) * (n - end.n))")
+    inside = F.expr("bin between least(peak.bin, end.bin) and greatest(peak.bin, end.bin)")
+    return _first_best(h.join(ends, "img").withColumn("score", F.when(inside, area)))
+
+
+def log_otsu(vol: DataFrame, bins: int = 64) -> DataFrame:
+    """Otsu's threshold of the logarithms of the positive values, for images with two of them at least."""
+    logs = vol.where("v > 0").withColumn("v", F.log("v"))
+    some = logs.groupBy("img").count().where("count >= 2").select("img")
+    return otsu(logs.join(some, "img", "left_semi"), bins).withColumn("threshold", F.exp("threshold"))
+
+
+def robust(vol: DataFrame, k: float) -> DataFrame:
+    """(img, median, mad, threshold): median + k * 1.4826 * MAD, both medians the upper one of an even number."""
+
+    def upper(df: DataFrame, name: str) -> DataFrame:
+        # values come as counts, so that a volume of any size moves its different values only
+        counts = df.groupBy("img", name).agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("img").orderBy(name).rowsBetween(Window.unboundedPreceding, 0))
+        whole = F.sum("n").over(Window.partitionBy("img"))
+        return counts.withColumn("upto", upto).withColumn("nn", whole).where(F.col("upto") > F.floor(F.col("nn") / 2)).groupBy("img").agg(F.min(name).alias("middle"))
+
+    median = upper(vol, "v").withColumnRenamed("middle", "median")
+    mad = upper(vol.join(median, "img").select("img", F.abs(F.col("v") - F.col("median")).alias("gap")), "gap").withColumnRenamed("middle", "mad")
+    return median.join(mad, "img").withColumn("threshold", F.col("median") + k * 1.4826 * F.col("mad"))
+
+
+def low_contrast(vol: DataFrame, fraction: float, low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """(img, flat): whether the span of the percentiles is at most that fraction of the whole span; an image of one value is flat."""
+    s = vol.groupBy("img").agg(F.percentile("v", F.lit(low)).alias("p"), F.percentile("v", F.lit(high)).alias("q"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    return s.select("img", (F.col("q") - F.col("p") <= fraction * (F.col("hi") - F.col("lo"))).alias("flat"))

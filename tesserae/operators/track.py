@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .connect import linked_components
+
 
 def bucketed(d: DataFrame, gate: float) -> DataFrame:
     return d.withColumn("by", F.floor(F.col("y") / gate)).withColumn("bx", F.floor(F.col("x") / gate))
@@ -58,3 +60,30 @@ def local_peaks(d: DataFrame, gate: float) -> DataFrame:
     near = F.pow(F.col("y") - F.col("y2"), 2) + F.pow(F.col("x") - F.col("x2"), 2) < gate * gate
     beaten = a.join(b, ["t", "by", "bx"]).where(near & ((F.col("size2") > F.col("size")) | ((F.col("size2") == F.col("size")) & (F.col("other") < F.col("id")))))
     return d.join(beaten.select("id").distinct(), "id", "left_anti")
+
+
+def link_scores(truth: DataFrame, made: DataFrame) -> DataFrame:
+    """(n_truth, n_made, n_both, precision, recall, f1) of two sets of links (from_id, to_id); null where there is nothing to divide by."""
+    pair = ["from_id", "to_id"]
+    both = truth.select(*pair).distinct().withColumn("t", F.lit(1)).join(made.select(*pair).distinct().withColumn("m", F.lit(1)), pair, "full")
+    n = both.agg(F.count("t").alias("n_truth"), F.count("m").alias("n_made"), F.count(F.col("t") + F.col("m")).alias("n_both"))
+    part = lambda num, den: F.round(num / F.when(den > 0, den), 6)
+    total = F.col("n_truth") + F.col("n_made")
+    return n.select("*", part(F.col("n_both"), F.col("n_made")).alias("precision"), part(F.col("n_both"), F.col("n_truth")).alias("recall"), part(2 * F.col("n_both"), total).alias("f1"))
+
+
+def tracks(d: DataFrame, links: DataFrame) -> DataFrame:
+    """(track_id, n_detections, t_start, t_end, first_id, last_id) of the chains that one-to-one links make; a detection without a link is
+    a track of its own. A track's id is its least detection id."""
+    found = linked_components(links.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")))
+    at = d.join(found, "id", "left").withColumn("track_id", F.coalesce("component", "id"))
+    return at.groupBy("track_id").agg(F.count("*").alias("n_detections"), F.min("t").alias("t_start"), F.max("t").alias("t_end"), F.min_by("id", F.struct("t", "id")).alias("first_id"), F.max_by("id", F.struct("t", "id")).alias("last_id"))
+
+
+def crowding(d: DataFrame, gate: float) -> DataFrame:
+    """(id, n): how many others of the frame lie within the gate."""
+    a = around(d, gate)
+    b = bucketed(d, gate).select("t", "by", "bx", F.col("id").alias("other"), F.col("y").alias("y2"), F.col("x").alias("x2"))
+    near = (F.col("id") != F.col("other")) & (F.pow(F.col("y") - F.col("y2"), 2) + F.pow(F.col("x") - F.col("x2"), 2) <= gate * gate)
+    counts = a.join(b, ["t", "by", "bx"]).where(near).groupBy("id").agg(F.count("*").alias("n"))
+    return d.select("id").join(counts, "id", "left").na.fill(0, ["n"])

@@ -296,3 +296,5 @@ query(
     f"WITH {DET} SELECT * FROM det a WHERE NOT EXISTS (SELECT 1 FROM det b WHERE a.t = b.t AND pow(a.y - b.y, 2) + pow(a.x - b.x, 2) < 2500 AND (b.size > a.size OR (b.size = a.size AND b.id < a.id)))",
     lambda s, d: track.local_peaks(lat.detections(s, d), 50.0),
 )
+
+from . import images  # noqa: E402,F401  adds its queries to these
