@@ -1,4 +1,5 @@
-"""Detections over time: candidate links between neighbouring frames, greedy links, suppression by rank, nearest neighbours.
+"""Detections over time: candidate links between neighbouring frames, mutual best and greedy links, peaks and suppression by rank,
+nearest neighbours.
 
 Joins on distance are equi-joins on a grid of buckets of the gate's size: a detection meets those of its own bucket and
 the eight around it, so work follows the local density and not the square of a frame.
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 from .connect import linked_components
 
 
@@ -43,6 +45,18 @@ def mutual_links(links: DataFrame) -> DataFrame:
     return links.withColumn("r", rank("from_id")).withColumn("s", rank("to_id")).where("r = 1 and s = 1").drop("r", "s")
 
 
+def greedy_links(links: DataFrame) -> DataFrame:
+    """The candidates taken one after another in the order (cost, from_id, to_id) while both ends are free: rounds of mutual
+    best ones among those whose ends are free, each round a table in the shared folder, until none is left."""
+    left = stored(links)
+    done = left.limit(0)
+    while not left.isEmpty():
+        made = stored(mutual_links(left))
+        done = done.union(made)
+        left = stored(left.join(made.select("from_id"), "from_id", "left_anti").join(made.select("to_id"), "to_id", "left_anti").select(*left.columns))
+    return done
+
+
 def neighbours(d: DataFrame, gate: float, k: int) -> DataFrame:
     """(id, rank, other, d2): the k nearest within the gate in the same frame; ties by id."""
     a = around(d, gate)
@@ -53,13 +67,31 @@ def neighbours(d: DataFrame, gate: float, k: int) -> DataFrame:
     return pair.withColumn("rank", rank).where(F.col("rank") <= k).select("id", F.col("rank").cast("long").alias("rank"), "other", "d2")
 
 
-def local_peaks(d: DataFrame, gate: float) -> DataFrame:
-    """The detections to which no one nearer than the gate in the frame has a larger size, or the same and a smaller id."""
+def _beaten(d: DataFrame, gate: float) -> DataFrame:
+    """(id, other): the others nearer than the gate in the frame with a larger size, or the same and a smaller id."""
     a = around(d, gate)
     b = bucketed(d, gate).select("t", "by", "bx", F.col("id").alias("other"), F.col("y").alias("y2"), F.col("x").alias("x2"), F.col("size").alias("size2"))
     near = F.pow(F.col("y") - F.col("y2"), 2) + F.pow(F.col("x") - F.col("x2"), 2) < gate * gate
-    beaten = a.join(b, ["t", "by", "bx"]).where(near & ((F.col("size2") > F.col("size")) | ((F.col("size2") == F.col("size")) & (F.col("other") < F.col("id")))))
-    return d.join(beaten.select("id").distinct(), "id", "left_anti")
+    return a.join(b, ["t", "by", "bx"]).where(near & ((F.col("size2") > F.col("size")) | ((F.col("size2") == F.col("size")) & (F.col("other") < F.col("id"))))).select("id", "other")
+
+
+def local_peaks(d: DataFrame, gate: float) -> DataFrame:
+    """The detections to which no one nearer than the gate in the frame has a larger size, or the same and a smaller id."""
+    return d.join(_beaten(d, gate).select("id").distinct(), "id", "left_anti")
+
+
+def suppressed(d: DataFrame, gate: float) -> DataFrame:
+    """The detections kept if each is taken by falling size, then id, unless one kept before is nearer than the gate in its
+    frame: rounds of local peaks among those that are left, each round a table in the shared folder."""
+    pairs = stored(_beaten(d, gate))
+    gone = stored(pairs.select("id").limit(0))
+    while not pairs.isEmpty():
+        # only ids in pairs are open: one without a stronger neighbour left is kept, and so are those never beaten
+        kept = pairs.select(F.col("other").alias("id")).distinct().join(pairs.select("id").distinct(), "id", "left_anti")
+        out = stored(pairs.join(kept.withColumnRenamed("id", "other"), "other", "left_semi").select("id").distinct())
+        gone = gone.union(out)
+        pairs = stored(pairs.join(out, "id", "left_anti").join(out.withColumnRenamed("id", "other"), "other", "left_anti").select("id", "other"))
+    return d.join(gone, "id", "left_anti")
 
 
 def link_scores(truth: DataFrame, made: DataFrame) -> DataFrame:

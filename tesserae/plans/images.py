@@ -140,6 +140,31 @@ query(
 SELECT min(id) AS track_id, count(*) AS n_detections, min(t) AS t_start, max(t) AS t_end, arg_min(id, t) AS first_id, arg_max(id, t) AS last_id FROM w JOIN det USING (id) GROUP BY root""",
     lambda s, d: (lambda det: track.tracks(det, track.mutual_links(track.candidates(det, 60.0))))(lat.detections(s, d)),
 )
+_GREEDY = """gr AS (SELECT *, row_number() OVER (PARTITION BY from_t ORDER BY d2 + rel_size, from_id, to_id) AS i FROM cand),
+gw(from_t, i, f, o, hit) AS (SELECT from_t, 0::BIGINT, []::BIGINT[], []::BIGINT[], false FROM (SELECT DISTINCT from_t FROM gr) UNION ALL
+  SELECT gr.from_t, gr.i, CASE WHEN free THEN list_append(f, from_id) ELSE f END, CASE WHEN free THEN list_append(o, to_id) ELSE o END, free
+  FROM (SELECT gr.*, f, o, NOT list_contains(f, from_id) AND NOT list_contains(o, to_id) AS free FROM gw JOIN gr ON gr.from_t = gw.from_t AND gr.i = gw.i + 1) gr),
+gl AS (SELECT gr.* FROM gr JOIN gw USING (from_t, i) WHERE hit)"""
+query(
+    "greedy_links",
+    f"WITH RECURSIVE {DET}, {_CAND}, {_GREEDY} SELECT from_id, to_id, from_t, dt, d2 FROM gl",
+    lambda s, d: track.greedy_links(track.candidates(lat.detections(s, d), 60.0)).select("from_id", "to_id", "from_t", "dt", "d2"),
+)
+query(
+    "greedy_tracks",
+    f"""WITH RECURSIVE {DET}, {_CAND}, {_GREEDY}, w(root, id) AS (SELECT id, id FROM det WHERE id NOT IN (SELECT to_id FROM gl) UNION ALL SELECT root, to_id FROM w JOIN gl ON from_id = id)
+SELECT min(id) AS track_id, count(*) AS n_detections, min(t) AS t_start, max(t) AS t_end, arg_min(id, t) AS first_id, arg_max(id, t) AS last_id FROM w JOIN det USING (id) GROUP BY root""",
+    lambda s, d: (lambda det: track.tracks(det, track.greedy_links(track.candidates(det, 60.0))))(lat.detections(s, d)),
+)
+query(
+    "suppressed_peaks",
+    f"""WITH RECURSIVE {DET}, o AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY size DESC, id) AS i FROM det),
+k(t, i, l, hit) AS (SELECT t, 0::BIGINT, []::STRUCT(y DOUBLE, x DOUBLE)[], false FROM (SELECT DISTINCT t FROM det) UNION ALL
+  SELECT t, i, CASE WHEN free THEN list_append(l, {{'y': y::DOUBLE, 'x': x::DOUBLE}}) ELSE l END, free
+  FROM (SELECT o.*, l, len(list_filter(l, lambda q: pow(o.y - q.y, 2) + pow(o.x - q.x, 2) < 2500)) = 0 AS free FROM k JOIN o ON o.t = k.t AND o.i = k.i + 1))
+SELECT det.* FROM det JOIN o USING (id) JOIN k ON k.t = o.t AND k.i = o.i WHERE hit""",
+    lambda s, d: track.suppressed(lat.detections(s, d), 50.0),
+)
 query(
     "crowding",
     f"WITH {DET} SELECT a.id, count(b.id) AS n FROM det a LEFT JOIN det b ON a.t = b.t AND a.id <> b.id AND pow(a.y - b.y, 2) + pow(a.x - b.x, 2) <= 6400 GROUP BY a.id",
