@@ -98,7 +98,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
     words) and n_licenses (long, different templates).
 
     containment: the part of a template's different shingles that the window has, at least `least`. A window starts at a
-    shingle of the template, is as long as it at most, and ends where it has all of the template's that it holds. Of
+    shingle of the template, is 1 / least times as long as it at most (so words may be put in), and ends where it has all of the template's that it holds. Of
     windows of one template that overlap, the one with most, then the shortest, then the first, is reported. Texts without
     words, and null ones, have none. Repeated rows come out alike, an empty table or an empty dict of templates works;
     columns of these two names are replaced, others kept. A template of fewer than k words is one shingle of all its words.
@@ -112,7 +112,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
     need: dict[tuple[int, int], int] = {}
     for r in every:
         need[r.k, r.n] = min(need.get((r.k, r.n), r.size), math.ceil(least * r.size - 1e-9))
-    reach = lambda n: n
+    reach = lambda n: max(n, math.floor(n / least + 1e-9)) if least > 0 else n
     classes = _rows([(kk, n, max(1, m), reach(n), max(1, n // STEP)) for (kk, n), m in sorted(need.items())], "k:int,n:int,need:int,reach:int,step:int")
     rows = packed(docs, _id=id_key(id_col), _text=text_of(text_col)).withColumn("_of", F.xxhash64("_text"))
     # words are made in a step of their own: within a lambda they would be split anew for each shingle. An outer explode

@@ -17,7 +17,7 @@ def grams(w, k):
     return [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
 
 
-def found(text, templates, reach=lambda n: n):
+def found(text, templates, reach=lambda n: int(n / LEAST + 1e-9)):
     """(template, best containment) of each that some window of reach(n) shingles from one of its own has enough of."""
     out, w = {}, words(text)
     texts = {k: grams(w, k) for k in range(1, 6)}
