@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import decode_ids, encode_texts
+from .bpe import encode_texts
 from .common import shared_dir, stored
 from .decontaminate import decontaminate
 from .license_scan import scan_licenses
@@ -69,8 +69,8 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
-    encoded = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
-    return decode_ids(encoded, path).select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    out = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded_col="decoded", keep_text=False)
+    return out.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

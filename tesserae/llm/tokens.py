@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import spread, utf8
+from .common import slices, spread, utf8
+from .words import string_hashes
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x0A]] = True
@@ -20,8 +22,8 @@ _BLACK[[*range(0x21, 0x3C), *range(0x3D, 0x7F), *range(0xC3, 0xE0), *range(0xE4,
 _LETTER, _STOP = np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _STOP[[0x2C, 0x2E]] = True
-#: Pieces that a Python worker remembers.
-KEEP = 1_000_000
+#: Bytes that a Python worker takes to remember pieces and chunks, and bytes and texts that the tokenizer gets at a time.
+PIECE_BYTES, CHUNK_BYTES, PLAIN_BYTES, PLAIN_ROWS = 48 << 20, 32 << 20, 1 << 18, 4096
 _encoders: dict[str, PieceEncoder] = {}
 
 
@@ -62,8 +64,94 @@ class Ragged:
         return Ragged(self.flat, self.bounds[at])
 
 
+class Generation:
+    """Strings with their ids, found by the sorted 64-bit hashes of their bytes; the bytes are compared as well."""
+
+    def __init__(self):
+        self.keys, self.slot, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        self.texts, self.text_at = Growing(np.uint8), Growing(np.int64, 0)
+        self.ids, self.ids_at = Growing(np.uint32), Growing(np.int64, 0)
+
+    def size(self) -> int:
+        return 16 * self.n + sum(g.array.nbytes for g in (self.texts, self.text_at, self.ids, self.ids_at))
+
+    def find(self, keys: np.ndarray, raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The slot of each string raw[bounds[i]:bounds[i + 1]], or -1."""
+        if not self.n:
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), self.n - 1)
+        slot = np.where(self.keys[at] == keys, self.slot[at], -1)
+        some = np.flatnonzero(slot >= 0)
+        start, size = self.text_at.values()[slot[some]], np.diff(bounds)[some]
+        other = self.text_at.values()[slot[some] + 1] - start != size
+        slot[some[other]] = -1
+        some, start, size = some[~other], start[~other], size[~other]
+        differ = self.texts.values()[spread(start, size)] != raw[spread(bounds[some], size)]
+        slot[np.repeat(some, size)[differ]] = -1
+        return slot
+
+    def add(self, keys: np.ndarray, raw: np.ndarray, bounds: np.ndarray, ids: Ragged) -> None:
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys, self.slot = np.insert(self.keys, at, keys[order]), np.insert(self.slot, at, self.n + order)
+        self.text_at.append(self.texts.used + bounds[1:] - bounds[0])
+        self.texts.append(raw[bounds[0] : bounds[-1]])
+        self.ids_at.append(self.ids.used + ids.bounds[1:] - ids.bounds[0])
+        self.ids.append(ids.flat[ids.bounds[0] : ids.bounds[-1]])
+        self.n += len(keys)
+
+
+class Growing:
+    """An array that takes more at its end, its room growing by a half."""
+
+    def __init__(self, kind: type, *first: int):
+        self.array, self.used = np.array(first, kind), len(first)
+
+    def append(self, values: np.ndarray) -> None:
+        if self.used + len(values) > len(self.array):
+            self.array = np.concatenate([self.values(), np.empty(len(values) + self.used // 2, self.array.dtype)])
+        self.array[self.used : self.used + len(values)] = values
+        self.used += len(values)
+
+    def values(self) -> np.ndarray:
+        return self.array[: self.used]
+
+
+class Memory:
+    """The ids of strings seen before, in about `limit` bytes: two generations, of which the older one goes when the younger
+    one has half of that. What is found in the older one moves to the younger one."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit // 2, Generation(), Generation()
+
+    def of(self, values: pa.Array, plain: Callable[[pa.Array], Ragged]) -> Ragged:
+        """The ids of each of these different strings; those not known come from `plain`, all at once."""
+        raw, bounds = utf8(values)
+        keys = string_hashes(raw, bounds)
+        out: list[tuple[np.ndarray, Ragged]] = []
+        left = np.arange(len(keys))
+        for known in (self.young, self.old):
+            size = np.diff(bounds)[left]
+            slot = known.find(keys[left], raw[spread(bounds[left], size)], np.concatenate([np.zeros(1, np.int64), np.cumsum(size)]))
+            hit = slot >= 0
+            out.append((left[hit], Ragged(known.ids.values(), known.ids_at.values()).take(slot[hit])))
+            left = left[~hit]
+        out.append((left, plain(values.take(pa.array(left))) if len(left) else Ragged(np.zeros(0, np.uint32), np.zeros(1, np.int64))))
+        for which, ids in out[1:]:
+            if len(which):
+                if self.young.size() > self.limit:
+                    self.young, self.old = Generation(), self.young
+                size = np.diff(bounds)[which]
+                self.young.add(keys[which], raw[spread(bounds[which], size)], np.concatenate([np.zeros(1, np.int64), np.cumsum(size)]), ids)
+        place = np.empty(len(keys), np.int64)
+        place[np.concatenate([w for w, _ in out])] = np.arange(len(keys))
+        flat = np.concatenate([r.flat for _, r in out])
+        sizes = np.concatenate([np.diff(r.bounds) for _, r in out])
+        return Ragged(flat, np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])).take(place)
+
+
 class PieceEncoder:
-    """A tokenizer and the ids of the pieces seen last, bounded by KEEP."""
+    """A tokenizer and the ids of the pieces and chunks seen last, bounded in bytes."""
 
     @staticmethod
     def of(path: str) -> PieceEncoder:
@@ -79,7 +167,7 @@ class PieceEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.words: pa.Array | None = None
-        self.known, self.ids = pa.array([], pa.string()), Ragged(np.zeros(0, np.uint32), np.zeros(1, np.int64))
+        self.known, self.chunks, self.seams = Memory(PIECE_BYTES), Memory(CHUNK_BYTES), Memory(PIECE_BYTES // 4)
 
     def vocabulary(self) -> pa.Array:
         """The token of each id."""
@@ -90,25 +178,19 @@ class PieceEncoder:
             self.words = pa.array([by_id.get(i) for i in range(max(by_id) + 1)], pa.string())
         return self.words
 
-    def plain(self, texts: list[str]) -> Ragged:
-        """Straight from the tokenizer."""
+    def plain(self, texts: pa.Array) -> Ragged:
+        """Straight from the tokenizer, a few texts at a time, as its encodings take many times the bytes of their texts."""
         flat, ends = array("I"), array("q", [0])
-        for at in range(0, len(texts), 20_000):
-            for e in self.tokenizer.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False):
-                flat.extend(e.ids)
-                ends.append(len(flat))
-        return Ragged(np.array(flat, np.uint32), np.array(ends, np.int64))
+        for part in slices(iter([pa.RecordBatch.from_arrays([texts], names=["t"])]), "t", PLAIN_BYTES):
+            for at in range(0, part.num_rows, PLAIN_ROWS):
+                for e in self.tokenizer.encode_batch_fast(part.column(0)[at : at + PLAIN_ROWS].to_pylist(), add_special_tokens=False):
+                    flat.extend(e.ids)
+                    ends.append(len(flat))
+        return Ragged(np.frombuffer(flat, np.uint32) if len(flat) else np.zeros(0, np.uint32), np.frombuffer(ends, np.int64))
 
     def distinct(self, values: pa.Array) -> Ragged:
         """The ids of different strings, from memory where they are known."""
-        new = values.filter(pc.invert(pc.is_in(values, self.known)))
-        if len(self.known) + len(new) > KEEP:
-            self.known, self.ids = values, self.plain(values.to_pylist())
-            return self.ids
-        more = self.plain(new.to_pylist())
-        self.known = pa.concat_arrays([self.known, new])
-        self.ids = Ragged(np.concatenate([self.ids.flat, more.flat]), np.concatenate([self.ids.bounds, self.ids.bounds[-1] + more.bounds[1:]]))
-        return self.ids.take(np.asarray(pc.index_in(values, self.known), dtype=np.int64))
+        return self.known.of(values, self.plain)
 
     def pieces(self, data: np.ndarray, bounds: np.ndarray) -> Ragged:
         if len(bounds) < 2:

@@ -91,6 +91,11 @@ def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
+def string_hashes(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each data[bounds[i]:bounds[i + 1]]."""
+    return _hashes(data, bounds[:-1], bounds[1:])
+
+
 def grams(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """A hash of the k words from each word on, and whether these lie in one text."""
     n = len(words.hash) - k + 1
