@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.bpe import decode_ids, encode_texts
+from tesserae.llm.bpe import encode_texts
 from tesserae.llm.common import stored
 from tesserae.llm.decontaminate import decontaminate
 from tesserae.llm.line_dedup import dedup_lines
@@ -42,7 +42,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of each text's ids and of what they decode to."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    out = decode_ids(encode_texts(docs.select("doc_id", "text"), path).select("doc_id", "ids"), path)
+    out = encode_texts(docs.select("doc_id", "text"), path, decoded_col="decoded", keep_text=False)
     return out.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
