@@ -1,13 +1,19 @@
-"""Substring dedup: repeats of WINDOW words or more, by subtrees of a sparse suffix tree that are built apart.
-
-The suffixes taken are those at anchors: in each window of WINDOW words the K words with the least hash. Equal windows have
-equal anchors at equal places, so each repeat of WINDOW words holds an anchor that all its copies share, and an eighth of
-all suffixes are enough. A suffix's prefix decides its group: the K words of the anchor, and for prefixes so frequent
-that their group would outgrow a task, more words, up to the whole window. A group is sorted by what stands around its
-anchors; nodes deeper than WINDOW words are the repeats, and of each the earliest place stays.
-
-A task first settles the repeats among its own texts and passes on one place of each, so a passage that a third of all
-documents hold reaches its group once a slice of texts, not once a document.
+"""Substring dedup: repeats of WINDOW words or more, from suffix subtrees that are built apart, a group of prefixes at a time.
+
+The suffixes that a group gets are those of a *sparse* suffix tree: of each WINDOW words the K words with the least hash are the
+anchor. Equal windows have equal anchors at equal places, so all copies of a repeat fall into the group of their anchor's
+K-word prefix, with the words around it. Then:
+
+1. Prefixes are counted over all documents (with partial sums, so a hot one is no hot task). A prefix of one document only
+   can't repeat, and its suffixes are not moved at all. A prefix of more than `limit` documents would outgrow a task: its
+   suffixes start at the windows themselves and their prefix is WINDOW words long.
+2. The words of the suffixes left go to their group. There words get numbers, the suffixes are sorted by prefix doubling, and
+   neighbours whose common prefix is WINDOW words or longer hang from one internal node of that depth: a repeat. The earliest
+   place of each node stays. Words themselves are compared, not hashes.
+3. Groups of long prefixes are dealt by document as well, a part for each `limit` documents, and what is first in its part meets
+   the other parts' firsts, so a passage that a third of all documents hold is no unbounded group either.
+
+A task first settles the repeats among its own slice of texts in the same way and passes on one place of each.
 """
 
 from __future__ import annotations
@@ -19,16 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_key, packed, slices, spread, text_of, unpacked
+from .common import id_key, packed, slices, spread, stored, text_of, unpacked
+from .tokens import strings
 from .words import SPACES, U, Words, grams, mix, sliding_min, words_of
 
 WINDOW, K = 20, 8
-SIX = 6
-#: Texts looked at to find frequent prefixes, and how often such a one stands among them. This decides only where rows go.
-SAMPLE, OFTEN = 20_000, 64
-#: Bytes of text for each group's task.
-GROUP_BYTES = 24 << 20
-_SUFFIX = "key long, anchor long, id long, at long, n int, windows binary"
+#: Documents with one prefix that a task takes, and bytes of suffixes in a group's task.
+LIMIT, GROUP_BYTES = 50_000, 32 << 20
+#: Bytes that a suffix takes in the mean; decides only how many groups there are.
+SUFFIX_BYTES = 160
+#: Windows `at` to `at + n - 1` of a document with their words; n = 0: a span that is settled, up to the word `end`.
+_SUFFIX = "key long, part long, id long, at long, n int, end long, hot boolean, words string"
 
 
 def anchored(words: Words, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -39,21 +46,40 @@ def anchored(words: Words, window: int, k: int) -> tuple[np.ndarray, np.ndarray,
     return at, sliding_min(g, window - k + 1)[at] if len(at) else np.zeros(0, np.uint64), h[at]
 
 
-def earliest(whole: np.ndarray, anchor: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For equal windows: whether a place is the first, and whether an earlier one exists. The same (doc, at) twice is no repeat."""
-    first, repeat = np.ones(len(whole), bool), np.zeros(len(whole), bool)
-    order = np.argsort(whole)
-    same = whole[order[1:]] == whole[order[:-1]]
-    twin = np.zeros(len(whole), bool)
-    twin[1:] |= same
-    twin[:-1] |= same
-    some = order[twin]
-    some = some[np.lexsort((at[some], doc[some], anchor[some], whole[some]))]
-    w, k, d, a = whole[some], anchor[some], doc[some], at[some]
+def codes(words: Words) -> np.ndarray:
+    """A number for each different word."""
+    size = words.end - words.start
+    texts = strings(words.data[spread(words.start, size)], np.concatenate([np.zeros(1, np.int64), np.cumsum(size)]))
+    return np.asarray(texts.dictionary_encode().indices, dtype=np.int64)
+
+
+def nodes(numbers: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """The internal node of the given depth over each suffix at[i], as a number in the order of their first `depth` words: suffixes
+    are sorted by prefix doubling, and neighbours with a shorter common prefix are under different nodes. All suffixes have
+    that many words."""
+    rank, span, done = numbers, 1, 0
+    node = np.zeros(len(at), np.int64)
+    while True:
+        if depth & span:  # the words that this power of two stands for in the depth
+            both = node * (rank.max(initial=0) + 1) + rank[at + done]
+            node = np.unique(both, return_inverse=True)[1]
+            done += span
+        if done == depth:
+            return node
+        both = rank[: len(rank) - span] * (rank.max(initial=0) + 1) + rank[span:]
+        rank = np.unique(both, return_inverse=True)[1]
+        span *= 2
+
+
+def earliest(node: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For suffixes under the same node: whether a place is the first, and whether an earlier one exists. The same (doc, at) twice is no repeat."""
+    first, repeat = np.ones(len(node), bool), np.zeros(len(node), bool)
+    order = np.lexsort((at, doc, node))
+    w, d, a = node[order], doc[order], at[order]
     new = np.ones(len(w), bool)
-    new[1:] = (w[1:] != w[:-1]) | (k[1:] != k[:-1])
+    new[1:] = w[1:] != w[:-1]
     head = np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))
-    first[some], repeat[some] = new, (d != d[head]) | (a != a[head])
+    first[order], repeat[order] = new, (d != d[head]) | (a != a[head])
     return first, repeat
 
 
@@ -67,95 +93,140 @@ def runs(doc: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.n
     return d[start], a[start], (a[np.append(start[1:], len(a)) - 1] + window) if len(a) else a[start]
 
 
-def _batch(key: np.ndarray, anchor: np.ndarray, doc: np.ndarray, at: np.ndarray, n: np.ndarray, blob: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(anchor.view(np.int64)), pa.array(doc.astype(np.int64)), pa.array(at.astype(np.int64)), pa.array(n.astype(np.int32)), blob], names=["key", "anchor", "id", "at", "n", "windows"])
-
-
-def _blobs(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """Runs of whole numbers as binaries, six bytes each: with the anchor's eight a window is known by 112 bits."""
-    raw = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SIX])
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * SIX).astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
+class Slice:
+    """The windows of a slice of texts, those settled within it, and those that stay."""
+
+    def __init__(self, batch: pa.RecordBatch, window: int, k: int):
+        self.words = words_of(batch.column("text"), SPACES, lower=False)
+        at, self.anchor, whole = anchored(self.words, window, k)
+        text = self.words.text[at]
+        self.at, self.text, self.doc, self.place = at, text, np.asarray(batch.column("id"))[text], at - self.words.first[text]
+        # only windows whose hash is there twice can be equal; of those the words decide
+        order = np.argsort(whole)
+        same = whole[order[1:]] == whole[order[:-1]]
+        twin = np.zeros(len(at), bool)
+        if len(at):
+            twin[order[1:]] |= same
+            twin[order[:-1]] |= same
+        some = np.flatnonzero(twin)
+        self.first, self.repeat = np.ones(len(at), bool), np.zeros(len(at), bool)
+        if len(some):
+            self.first[some], self.repeat[some] = earliest(nodes(codes(self.words), at[some], window), self.doc[some], self.place[some])
+        self.left = np.flatnonzero(self.first)
+        self.whole = whole
 
 
-def _numbers(raw: np.ndarray) -> np.ndarray:
-    wide = np.zeros((len(raw) // SIX, 8), np.uint8)
-    wide[:, :SIX] = raw.reshape(-1, SIX)
-    return wide.reshape(-1).view("<u8")
+def _spans(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(d.astype(np.int64)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], names=["id", "start", "end"])
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
-    """(id, start, end): word spans covered by windows whose words also start earlier. Spans of one id may overlap."""
+def _suffixes(key: np.ndarray, part: np.ndarray, doc: np.ndarray, at: np.ndarray, n: np.ndarray, end: np.ndarray, hot: np.ndarray, words: pa.Array) -> pa.RecordBatch:
+    kinds = {"key": np.int64, "part": np.int64, "id": np.int64, "at": np.int64, "n": np.int32, "end": np.int64, "hot": bool}
+    columns = [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(t)) for c, t in zip((key, part, doc, at, n, end, hot), kinds.values(), strict=True)]
+    return pa.RecordBatch.from_arrays([*columns, words], names=[*kinds, "words"])
 
-    rows = docs.select(id_key(id_col).alias("id"), text_of(text_col).alias("text"))
-    n_rows, n_bytes = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            words = words_of(batch.column("text"), SPACES, lower=False)
-            at, anchor, _ = anchored(words, window, k)
-            step = np.ones(len(at), bool)
-            step[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[step].view(np.int64))], names=["anchor"])
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K, limit: int = LIMIT) -> DataFrame:
+    """(id, start, end): word spans covered by windows whose words also start earlier. Spans of one id may overlap.
 
-    sample = rows.sample(min(1.0, SAMPLE / max(1, n_rows)), seed=1)
-    frequent = sample.mapInArrow(anchors, "anchor long").groupBy("anchor").count().where(F.col("count") >= OFTEN).select("anchor").toArrow()
-    frequent = np.sort(np.asarray(frequent.column("anchor")).astype(np.int64).view(np.uint64))  # SAMPLE texts' places / OFTEN at most
+    Null and empty texts have none; a null id is the smallest long; the same place of an id in repeated rows is no repeat of
+    itself; an empty table gives an empty table. The result doesn't depend on limit.
+    """
+    spark = docs.sparkSession
+    rows = packed(docs, text_col, _id=id_key(id_col), _text=text_of(text_col))
+    narrow = docs.select(id_key(id_col).alias("id"), text_of(text_col).alias("text"))
+
+    def prefixes(skip: np.ndarray) -> DataFrame:
+        """(p, id): the anchors of each row's windows, once a row."""
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "text"):
+                words = words_of(batch.column("text"), SPACES, lower=False)
+                at, anchor, _ = anchored(words, window, k)
+                text = words.text[at]
+                step = np.ones(len(anchor), bool)  # a run of windows with one anchor
+                step[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
+                anchor, text = anchor[step], text[step]
+                order = np.lexsort((anchor, text))
+                anchor, text = anchor[order], text[order]
+                new = np.ones(len(anchor), bool)
+                new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
+                if len(skip):
+                    new &= ~np.isin(anchor, skip)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), pa.array(np.asarray(batch.column("id"))[text[new]])], names=["p", "id"])
+
+        return narrow.mapInArrow(work, "p long, id long")
+
+    shared = stored(prefixes(np.zeros(0, np.uint64)).groupBy("p").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    hot = shared.where(F.col("n") > limit).toArrow()  # a row for each `limit` documents' prefixes at most
+    order = np.argsort(np.asarray(hot.column("p")).astype(np.int64).view(np.uint64))
+    frequent, parts = np.asarray(hot.column("p")).astype(np.int64).view(np.uint64)[order], -(-np.asarray(hot.column("n"), dtype=np.int64)[order] // limit)
+    needs = prefixes(frequent).join(shared.select("p"), "p").groupBy("id").agg(F.collect_set("p").alias("_needs"))
+    size = (shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * SUFFIX_BYTES) // GROUP_BYTES
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size)
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            words = words_of(batch.column("text"), SPACES, lower=False)
-            at, anchor, whole = anchored(words, window, k)
-            if not len(at):
-                continue
-            text = words.text[at]
-            doc, place = np.asarray(batch.column("id"))[text], at - words.first[text]
-            first, repeat = earliest(whole, anchor, doc, place)
-            d, a, b = runs(doc[repeat], place[repeat], window)  # settled: they go through with n = 0
+            s = Slice(batch, window, k)
+            d, a, b = runs(s.doc[s.repeat], s.place[s.repeat], window)
             if len(d):
-                spot = mix(d.view(np.uint64) ^ a.view(np.uint64))
-                yield _batch(spot, spot, d, a, np.zeros(len(d)), _blobs(b, np.arange(len(d) + 1)))
-            left = np.flatnonzero(first)
+                zero = np.zeros(len(d), np.int64)
+                yield _suffixes(mix(d.view(np.uint64) ^ a.view(np.uint64)), zero, d, a, zero, b, zero, pa.nulls(len(d), pa.string()))
+            lists = batch.column("needs")
+            wanted = np.asarray(lists.flatten()).astype(np.int64).view(np.uint64) ^ mix(np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths().fill_null(0))).astype(np.uint64))
+            left, anchor = s.left, s.anchor[s.left]
+            hot = np.isin(anchor, frequent)
+            need = hot | np.isin(anchor ^ mix(s.text[left].astype(np.uint64)), wanted)
+            left, anchor, hot = left[need], anchor[need], hot[need]
             if not len(left):
                 continue
-            # windows next to each other with the same anchor make one row; a frequent prefix goes on through the window
-            longer = np.isin(anchor[left], frequent)
             step = np.ones(len(left), bool)
-            step[1:] = (anchor[left[1:]] != anchor[left[:-1]]) | (text[left[1:]] != text[left[:-1]]) | (place[left[1:]] != place[left[:-1]] + 1) | longer[1:]
+            step[1:] = (anchor[1:] != anchor[:-1]) | (s.text[left[1:]] != s.text[left[:-1]]) | (s.at[left[1:]] != s.at[left[:-1]] + 1) | hot[1:]
             start = np.flatnonzero(step)
-            bounds = np.append(start, len(left))
-            rest = anchor[left[start]]
-            yield _batch(np.where(longer[start], whole[left[start]], rest), rest, doc[left[start]], place[left[start]], np.diff(bounds), _blobs(whole[left], bounds))
-
-    def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        for batch in batches:
-            n = np.asarray(batch.column("n")).astype(np.int64)
-            doc, at = np.asarray(batch.column("id")), np.asarray(batch.column("at"))
-            anchor = np.asarray(batch.column("anchor")).view(np.uint64)
-            raw = np.frombuffer(batch.column("windows").buffers()[2] or b"", np.uint8)
-            off = np.frombuffer(batch.column("windows").buffers()[1], np.int32)[batch.column("windows").offset :][: batch.num_rows + 1]
-            values = _numbers(raw[off[0] : off[-1]])
-            place = (off[:-1] - off[0]) // SIX
-            done = np.flatnonzero(n == 0)
-            if len(done):
-                yield _spans(doc[done], at[done], values[place[done]].astype(np.int64))
-            some = np.flatnonzero(n)
-            held.append((values[spread(place[some], n[some])], np.repeat(anchor[some], n[some]), np.repeat(doc[some], n[some]), spread(at[some], n[some])))  # the windows of a row start one word apart
-        if held:
-            whole, anchor, doc, at = (np.concatenate(c) for c in zip(*held, strict=True))
-            _, repeat = earliest(whole, anchor, doc, at)
-            d, a, b = runs(doc[repeat], at[repeat], window)
-            yield _spans(d, a, b)
-
-    groups = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // GROUP_BYTES))
-    return rows.mapInArrow(suffixes, _SUFFIX).repartition(groups, "key").mapInArrow(subtrees, "id long, start long, end long")
-
-
-def _spans(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(d.astype(np.int64)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], names=["id", "start", "end"])
-
-
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
+            n, begin, hot = np.diff(np.append(start, len(left))), s.at[left[start]], hot[start]
+            low, high = s.words.start[begin], s.words.end[begin + n + window - 2]
+            texts = strings(s.words.data[spread(low, high - low)], np.concatenate([np.zeros(1, np.int64), np.cumsum(high - low)]))
+            doc, key = s.doc[left[start]], np.where(hot, s.whole[left[start]], anchor[start])
+            many = parts[np.minimum(np.searchsorted(frequent, anchor[start]), len(parts) - 1)] if len(parts) else np.ones(len(start), np.int64)
+            part = np.where(hot, (mix(doc.view(np.uint64)) % np.maximum(many, 1).astype(np.uint64)).astype(np.int64), 0)
+            yield _suffixes(key, part, doc, s.place[left[start]], n, np.zeros(len(start), np.int64), hot, texts)
+
+    def subtrees(spans: bool):
+        """The spans of repeats; or else the suffixes of long prefixes that are first in their part."""
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []
+            for batch in batches:
+                n = np.asarray(batch.column("n"))
+                if spans:
+                    done = batch.filter(pa.array(n == 0))
+                    yield pa.RecordBatch.from_arrays([done.column(c) for c in ("id", "at", "end")], names=["id", "start", "end"])
+                held.append(batch.filter(pa.array((n > 0) if spans else np.asarray(batch.column("hot").to_numpy(zero_copy_only=False)))))
+            if not sum(b.num_rows for b in held):
+                return
+            table = pa.Table.from_batches(held)
+            doc, at, n = (np.asarray(table.column(c)).astype(np.int64) for c in ("id", "at", "n"))
+            words = words_of(pa.concat_arrays(table.column("words").chunks), SPACES, lower=False, hashed=False)
+            row, place = np.repeat(np.arange(len(n)), n), spread(at, n)  # the windows of a row start one word apart
+            first, repeat = earliest(nodes(codes(words), spread(words.first[:-1], n), window), doc[row], place)
+            if spans:
+                yield _spans(*runs(doc[row][repeat], place[repeat], window))
+            else:  # rows of one window each
+                yield from table.filter(pa.array(first)).to_batches()
+
+        return work
+
+    both = rows.join(needs.withColumnRenamed("id", "_id"), "_id", "left")
+    # all columns of the rows go along, so that the rows are dealt by id once for this join and for the one that cuts the texts
+    sent = both.select("_row", F.col("_id").alias("id"), F.col("_text").alias("text"), F.col("_needs").alias("needs")).mapInArrow(suffixes, _SUFFIX)
+    dealt = sent.repartition(groups, "key", "part")
+    found = dealt.mapInArrow(subtrees(True), "id long, start long, end long")
+    if len(frequent):
+        found = found.union(dealt.mapInArrow(subtrees(False), _SUFFIX).repartition(groups, "key").mapInArrow(subtrees(True), "id long, start long, end long"))
+    return found
+
+
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K, limit: int = LIMIT) -> DataFrame:
     """docs with the text's words that no repeat covers, joined by one blank, and n_words, n_removed (long).
 
     Words: runs of anything but white space [\\x20\\x09-\\x0D]. A word goes if a window of `window` words over it has words
@@ -164,7 +235,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     repeated rows don't repeat each other, and a word place removed in one goes in all. Empty tables give empty tables;
     columns n_words and n_removed are replaced, others kept. A very long text is a slice of its own.
     """
-    spans = repeats(docs, id_col, text_col, window, k).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    spans = repeats(docs, id_col, text_col, window, k, limit).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
     rows = packed(docs, text_col, _id=id_key(id_col), _text=text_of(text_col))
     both = rows.join(spans.withColumnRenamed("id", "_id"), "_id", "left").select("_row", "_text", "_spans")
 
