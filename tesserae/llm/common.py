@@ -34,7 +34,10 @@ def text_of(name: str) -> Column:
 def packed(df: DataFrame, without: str | None = None, **columns: Column) -> DataFrame:
     """The row as struct `_row` beside the named columns, so that no input column can clash with them; `without` is a
     column that the result replaces, and that needn't be moved twice."""
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != without], F.lit(True).alias("_is")).alias("_row")
+    mark, names = "_is", {c.lower() for c in df.columns}
+    while mark in names:
+        mark += "_"
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != without], F.lit(True).alias(mark)).alias("_row")
     return df.select(row, *[c.alias(n) for n, c in columns.items()])
 
 

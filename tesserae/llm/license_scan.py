@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import id_key, packed, stored, text_of, unpacked
 
 SHINGLE, BANDS, ROWS, LEAST, STEP = 5, 32, 2, 0.8, 16
-#: Templates are a parameter; more than these may not be broadcast.
-MAX_TEMPLATE_WORDS = 100_000
+#: Templates are a parameter; tables of more than these words are joined by shuffles, not broadcast.
+BROADCAST_WORDS = 100_000
 _CC = {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nc": "Attribution-NonCommercial", "by-nd": "Attribution-NoDerivatives", "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}
 _SPDX = ("MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")
 
@@ -105,10 +105,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
     Rows of one id and text are one.
     """
     templates = TEMPLATES if templates is None else templates
-    if sum(len(t.split()) for t in templates.values()) > MAX_TEMPLATE_WORDS:
-        raise ValueError(f"templates of more than {MAX_TEMPLATE_WORDS} words in all")
+    small = F.broadcast if sum(len(t.split()) for t in templates.values()) <= BROADCAST_WORDS else lambda table: table
     table = template_table(docs, templates, k)
-    every = table.select("k", "n", F.size("shingles").alias("size"), F.when(F.col("k") < k, F.col("own")).alias("own")).collect()  # bounded by MAX_TEMPLATE_WORDS
+    every = table.select("k", "n", F.size("shingles").alias("size"), F.when(F.col("k") < k, F.col("own")).alias("own")).collect()  # a row a template
     need: dict[tuple[int, int], int] = {}
     for r in every:
         need[r.k, r.n] = min(need.get((r.k, r.n), r.size), math.ceil(least * r.size - 1e-9))
@@ -129,7 +128,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
     near = full.select("_id", "_of", F.posexplode_outer("s").alias("at", "h")).select("_id", "_of", F.lit(k).alias("k"), "at", "h")
     if some:
         near = near.union(full.where(F.size("more") > 0).select("_id", "_of", F.explode("more").alias("p")).select("_id", "_of", "p.k", "p.at", "p.h"))
-    near = near.join(F.broadcast(known), ["k", "h"]).groupBy("_id", "_of", "k").agg(F.array_sort(F.collect_set(F.struct("at", "h"))).alias("near"))
+    near = near.join(small(known), ["k", "h"]).groupBy("_id", "_of", "k").agg(F.array_sort(F.collect_set(F.struct("at", "h"))).alias("near"))
     hashes = lambda places: F.array_distinct(F.transform(places, lambda p: p["h"]))
     of_class = near.select("*", F.explode(classes).alias("c")).where("c.k = k").where(F.size(hashes(F.col("near"))) >= F.col("c.need"))
     cell = lambda at: F.floor(at / F.col("c.step"))
@@ -140,11 +139,11 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
     windows = windows.select("_id", "_of", "near", "c", cell(F.col("p.at")).alias("cell"), F.explode_outer(F.array(hashes(inside))).alias("w")).where(F.size("w") >= F.col("c.need"))
     keyed = windows.select("_id", "_of", "c", "cell", F.explode(bands_of(F.col("w"))).alias("b")).select("_id", "_of", "cell", "c.k", "c.n", "b.band", "b.key")
     theirs = table.select("template", "k", "n", F.explode(bands_of(F.col("shingles"))).alias("b")).select("template", "k", "n", "b.band", "b.key")
-    hits = keyed.join(F.broadcast(theirs), ["k", "n", "band", "key"]).groupBy("_id", "_of", "k", "n", "template").agg(F.collect_set("cell").alias("cells"))
+    hits = keyed.join(small(theirs), ["k", "n", "band", "key"]).groupBy("_id", "_of", "k", "n", "template").agg(F.collect_set("cell").alias("cells"))
     # the template's own shingles in the text, each with its place before
     places = hits.join(near, ["_id", "_of", "k"]).select("_id", "_of", "k", "n", "template", "cells", F.explode("near").alias("p")).select("_id", "_of", "k", "n", "template", "cells", "p.at", "p.h")
     held = table.select("template", F.size("shingles").alias("size"), F.explode("shingles").alias("h"))
-    places = places.join(F.broadcast(held), ["template", "h"])
+    places = places.join(small(held), ["template", "h"])
     places = places.withColumn("before", F.coalesce(F.lag("at").over(Window.partitionBy("_id", "_of", "template", "h").orderBy("at")), F.lit(-1)))
     mine = places.groupBy("_id", "_of", "k", "n", "template", "size").agg(F.first("cells").alias("cells"), F.array_sort(F.collect_list(F.struct("at", "before"))).alias("mine"))
     bounds = {n: (reach(n), max(1, n // STEP)) for _, n in need}

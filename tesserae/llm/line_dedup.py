@@ -1,8 +1,8 @@
 """Line dedup: explode normalised lines, hash them, count the documents of each hash, drop lines over the threshold and put the rest together by position.
 
 All of it is DataFrame functions. Only hashes and positions are shuffled to find repeated lines; a hash that a third of
-all documents share is counted per (hash, document) first, and the join that spreads its verdict is one that Spark can
-split. Each text is moved once, to meet the list of its own dropped positions.
+all documents share is counted per (hash, document) first. Verdicts on hashes of more documents than lines / HOT_KEYS, of which
+there can be no more than HOT_KEYS, are broadcast; the others, which are no hot keys, are joined. Each text is moved once, to meet the list of its own dropped positions.
 """
 
 from __future__ import annotations
@@ -12,7 +12,10 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_key, packed, text_of, unpacked
+from .common import id_key, packed, stored, text_of, unpacked
+
+#: Keys whose verdict is broadcast, at most: those that stand in more documents than lines / HOT_KEYS.
+HOT_KEYS = 100_000
 
 #: [\x20\x09-\x0D]
 WHITE = " \t\n\x0b\x0c\r"
@@ -37,13 +40,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("_of", F.xxhash64("_text"))
     lines = rows.select("_id", "_of", F.posexplode_outer(F.split("_text", "\n", -1)).alias("_at", "_line"))
     lines = lines.withColumn("_key", line_key(F.col("_line"))).where(F.char_length("_key") >= min_chars)
-    lines = lines.select("_id", "_of", "_at", F.xxhash64("_key").alias("_h"), F.xxhash64(F.lit(7), "_key").alias("_g"))
-    repeated = (
+    lines = stored(lines.select("_id", "_of", "_at", F.xxhash64("_key").alias("_h"), F.xxhash64(F.lit(7), "_key").alias("_g")))
+    often = max(min_docs, lines.count() // HOT_KEYS)
+    repeated = stored(
         lines.groupBy("_h", "_g", "_id").agg(F.lit(1).alias("_one"))
         .groupBy("_h", "_g").agg(F.count("_one").alias("_docs"), F.min("_id").alias("_first"))
-        .where(F.col("_docs") >= min_docs).select("_h", "_g", "_first")
+        .where(F.col("_docs") >= min_docs)
     )
-    dropped = lines.join(repeated, ["_h", "_g"]).where(F.col("_id") != F.col("_first"))
+    # a line that many documents share would be one task's key: its verdict goes to the lines instead, by broadcast
+    hot = F.broadcast(repeated.where(F.col("_docs") > often).select("_h", "_g", "_first"))
+    rest = repeated.where(F.col("_docs") <= often).select("_h", "_g", "_first")
+    both_kinds = lines.join(hot, ["_h", "_g"]).unionByName(lines.join(hot, ["_h", "_g"], "left_anti").join(rest, ["_h", "_g"]))
+    dropped = both_kinds.where(F.col("_id") != F.col("_first"))
     dropped = dropped.groupBy("_id", "_of").agg(F.collect_set("_at").alias("_drop"))
     both = rows.join(dropped, ["_id", "_of"], "left")
     split = F.split("_text", "\n", -1)

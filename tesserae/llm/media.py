@@ -22,7 +22,9 @@ from .common import packed, slices, unpacked
 SAMPLE, KEY_EVERY, RATE = 192, 8, 8000
 #: Boxes that hold boxes.
 NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf"}
-FEATURES = "codec string, timescale long, duration long, n_samples long, keyframes array<struct<offset:long,size:long>>, error string"
+FEATURES = "codec string, timescale long, duration long, n_samples long, keyframes array<struct<offset:long,size:long>>, tracks array<struct<codec:string,timescale:long,duration:long,n_samples:long,n_keyframes:long>>, error string"
+#: What a damaged file, or one that isn't a media file, fails with.
+DAMAGED = (ValueError, KeyError, IndexError, OverflowError, struct.error)
 
 
 def box(kind: bytes, *parts: bytes) -> bytes:
@@ -74,16 +76,16 @@ def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int,
         start += size
 
 
-def first_track(data: memoryview, start: int, end: int) -> dict[bytes, tuple[int, int]]:
-    """The bodies of the leaf boxes of moov's first track, by kind."""
+def tracks_of(data: memoryview, start: int, end: int) -> list[dict[bytes, tuple[int, int]]]:
+    """For each track of moov the bodies of its leaf boxes by kind (the first of each)."""
+    return [_leaves(data, a, b) for kind, a, b in boxes(data, start, end) if kind == b"trak"]
+
+
+def _leaves(data: memoryview, start: int, end: int) -> dict[bytes, tuple[int, int]]:
     found: dict[bytes, tuple[int, int]] = {}
-    todo = [(start, end)]
-    while todo:
-        for kind, a, b in boxes(data, *todo.pop()):
-            if kind in NESTED and not (kind == b"trak" and b"trak" in found):
-                todo.append((a, b))
-            if kind == b"trak" or kind not in NESTED:
-                found.setdefault(kind, (a, b))
+    for kind, a, b in boxes(data, start, end):
+        for k, v in (_leaves(data, a, b) if kind in NESTED else {kind: (a, b)}).items():
+            found.setdefault(k, v)
     return found
 
 
@@ -91,34 +93,51 @@ def samples_of(data: memoryview, at: dict[bytes, tuple[int, int]]) -> tuple[np.n
     """Offsets and sizes of all samples: stsz has the sizes, stsc the samples of each chunk, stco or co64 the chunks' places."""
     numbers = lambda kind, skip, form: np.frombuffer(data[at[kind][0] + skip : at[kind][1]], form).astype(np.int64)
     size, n = struct.unpack(">II", data[at[b"stsz"][0] + 4 : at[b"stsz"][0] + 12])
+    if size and size * n > len(data) or not size and at[b"stsz"][1] - at[b"stsz"][0] < 12 + 4 * n:
+        raise ValueError(f"{n} samples are more than the file has")  # before an array of that length is made
     sizes = np.full(n, size, np.int64) if size else numbers(b"stsz", 12, ">u4")[:n]
     chunks = numbers(b"stco", 8, ">u4") if b"stco" in at else numbers(b"co64", 8, ">u8")
     runs = numbers(b"stsc", 8, ">u4").reshape(-1, 3)
-    each = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1)))
+    many = np.diff(np.append(runs[:, 0], len(chunks) + 1))
+    if len(runs) and runs[0, 0] != 1 or (many < 0).any() or (runs[:, 1] * many).sum() < n or (runs[:, 1] > max(n, 1)).any():
+        raise ValueError("the chunks don't hold the samples")
+    each = np.repeat(runs[:, 1], many)
     chunk = np.repeat(np.arange(len(chunks)), each)[:n]
     before = np.cumsum(sizes) - sizes
     first = np.cumsum(each) - each
-    return chunks[chunk] + before - before[first[chunk]], sizes
+    offsets = chunks[chunk] + before - before[first[chunk]]
+    if n and ((offsets < 0).any() or (offsets + sizes > len(data)).any()):
+        raise ValueError("a sample lies outside of the file")
+    return offsets, sizes
 
 
-def inspect(media: bytes | memoryview) -> tuple[dict, np.ndarray, np.ndarray]:
-    """Features, and the samples' offsets and sizes. Fails with ValueError, KeyError or struct.error on a damaged file."""
-    data = memoryview(media)
-    top = {kind: (a, b) for kind, a, b in boxes(data, 0, len(data))}
-    at = first_track(data, *top[b"moov"])
+def _track(data: memoryview, at: dict[bytes, tuple[int, int]]) -> tuple[dict, np.ndarray, np.ndarray]:
     offsets, sizes = samples_of(data, at)
     head = at[b"mdhd"][0]
-    if data[head]:
-        timescale, _ = struct.unpack(">IQ", data[head + 20 : head + 32])
-    else:
-        timescale, _ = struct.unpack(">II", data[head + 12 : head + 20])
+    timescale = struct.unpack(">I", data[head + 20 : head + 24] if data[head] else data[head + 12 : head + 16])[0]
     times = np.frombuffer(data[at[b"stts"][0] + 8 : at[b"stts"][1]], ">u4").astype(np.int64).reshape(-1, 2)
     if b"stss" in at:
         keys = np.frombuffer(data[at[b"stss"][0] + 8 : at[b"stss"][1]], ">u4").astype(np.int64) - 1
+        if len(keys) and (keys.min() < 0 or keys.max() >= len(sizes)):
+            raise ValueError("a key frame is no sample")
     else:
         keys = np.arange(len(sizes))  # without the table each sample is one
     codec = bytes(data[at[b"stsd"][0] + 12 : at[b"stsd"][0] + 16]).decode("latin-1")
-    return {"codec": codec, "timescale": timescale, "duration": int((times[:, 0] * times[:, 1]).sum()), "n_samples": len(sizes), "keyframes": [{"offset": int(o), "size": int(s)} for o, s in zip(offsets[keys], sizes[keys], strict=True)], "error": None}, offsets, sizes
+    return {"codec": codec, "timescale": timescale, "duration": int((times[:, 0] * times[:, 1]).sum()), "n_samples": len(sizes), "keyframes": [{"offset": int(o), "size": int(s)} for o, s in zip(offsets[keys], sizes[keys], strict=True)]}, offsets, sizes
+
+
+def inspect(media: bytes | memoryview) -> tuple[dict, np.ndarray, np.ndarray]:
+    """Features, and the first track's samples' offsets and sizes. Fails with one of DAMAGED on a damaged file."""
+    data = memoryview(media)
+    top: dict[bytes, tuple[int, int]] = {}
+    for kind, a, b in boxes(data, 0, len(data)):
+        top.setdefault(kind, (a, b))
+    if b"moof" in top:
+        raise ValueError("a fragmented file: its moof boxes are not read")
+    tracks = [_track(data, t) for t in tracks_of(data, *top[b"moov"])]
+    short = [{**{k: t[k] for k in ("codec", "timescale", "duration", "n_samples")}, "n_keyframes": len(t["keyframes"])} for t, _, _ in tracks]
+    first, offsets, sizes = tracks[0]
+    return {**first, "tracks": short, "error": None}, offsets, sizes
 
 
 def wrap_media(docs: DataFrame, text_col: str = "text", media_col: str = "media") -> DataFrame:
@@ -139,13 +158,14 @@ def wrap_media(docs: DataFrame, text_col: str = "text", media_col: str = "media"
 def inspect_media(table: DataFrame, media_col: str = "media", payload: bool = False) -> DataFrame:
     """table with the columns of FEATURES and, if asked for, `payload` (the samples' bytes, end to end).
 
-    duration counts units of 1 / timescale seconds. Null media has null features; for a damaged file they are null too
+    The columns up to keyframes, and the payload, are the first track's; tracks has a row for each. duration counts units of
+    1 / timescale seconds. A fragmented file (moof), and one without a track, count as damaged. Null media has null features; for a damaged file they are null too
     but for `error`. Columns of these names are replaced, others kept; repeated rows and empty tables come out as such.
     """
     rows = packed(table, _media=F.col(f"`{media_col}`"))
     fields = [*T._parse_datatype_string(FEATURES).fields, *([T.StructField("payload", T.BinaryType())] if payload else [])]
     schema = T.StructType([rows.schema["_row"], *fields])
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())])), pa.string(), pa.binary()]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())])), pa.list_(pa.struct([("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("n_samples", pa.int64()), ("n_keyframes", pa.int64())])), pa.string(), pa.binary()]
 
     def one(media: pa.Scalar) -> dict:
         if not media.is_valid:
@@ -153,7 +173,7 @@ def inspect_media(table: DataFrame, media_col: str = "media", payload: bool = Fa
         data = memoryview(media.as_buffer())
         try:
             found, offsets, sizes = inspect(data)
-        except (ValueError, KeyError, IndexError, struct.error) as e:
+        except DAMAGED as e:
             return {"error": f"{type(e).__name__}: {e}"}
         if payload:
             ends = offsets + sizes

@@ -27,7 +27,7 @@ from .words import SPACES, U, Words, mix, words_of
 
 SHINGLE, BANDS, ROWS, BATCH = 5, 24, 4, 16
 #: The probability at which a pair is given up, and members of a bucket that are compared at a time.
-MISS, BLOCK = 1e-6, 512
+MISS, BLOCK, BLOCK_WORDS = 1e-6, 512, 2_000_000
 #: The hash functions: odd factors and shifts of 32 bits.
 _A, _B = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * U(c)).astype(np.uint32) for c in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
 _A |= np.uint32(1)
@@ -165,17 +165,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = stored(some.select("id", "n", "d", "e").join(classes, ["n", "d", "e"]).select("id", "rep"))
     sigs = stored(some.join(classes, (some.id == classes.rep) & (some.n == classes.n) & (some.d == classes.d) & (some.e == classes.e), "left_semi").dropDuplicates(["id", "d", "e"]).select("id", "d", "n", "sig"))
     # rows of one id may be of several classes; such an id has several signatures, told apart by d
-    bands = sigs.select("id", F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(substring(sig, i * {4 * ROWS} + 1, {4 * ROWS})))")).alias("band", "key"))
+    bands = sigs.select("id", "n", F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(substring(sig, i * {4 * ROWS} + 1, {4 * ROWS})))")).alias("band", "key"))
     bands = bands.dropDuplicates()
-    least = bands.groupBy("band", "key").agg(F.min("id").alias("lead"), F.count("*").alias("size")).where("size > 1")
-    buckets = stored(bands.join(least, ["band", "key"]).select("band", "key", "id", "lead", "size"))
+    least = bands.groupBy("band", "key").agg(F.min("id").alias("lead"), F.count("*").alias("size"), F.sum("n").alias("words")).where("size > 1")
+    buckets = stored(bands.drop("n").join(least, ["band", "key"]).select("band", "key", "id", "lead", "size", "words"))
     star = stored(buckets.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
     links = stored(_verified(_survivors(star, sigs, threshold), rows, k, per_cent).union(member.where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))))
     found = components(links)
     # buckets of several components
-    placed = buckets.join(found, "id", "left").select("band", "key", "id", "size", F.coalesce("component", "id").alias("c"))
-    parts = placed.groupBy("band", "key", "c").count().groupBy("band", "key").agg(F.count("*").alias("parts"), F.max(F.struct("count", "c"))["c"].alias("main"))
-    parts = parts.where("parts > 1").select("band", "key", "main")
+    placed = buckets.join(found, "id", "left").select("band", "key", "id", "size", "words", F.coalesce("component", "id").alias("c"))
+    parts = placed.groupBy("band", "key", "c").count().groupBy("band", "key").agg(F.count("*").alias("parts"), F.max(F.struct("count", "c")).alias("main"), F.sum("count").alias("all"))
+    parts = parts.where("parts > 1").select("band", "key", F.col("main.c").alias("main"), (F.col("all") - F.col("main.count")).alias("strays"))
     mixed = placed.join(parts, ["band", "key"]).withColumn("stray", F.col("c") != F.col("main")).join(sigs.select("id", "sig"), "id").join(rows, "id")
     cross = stored(_cross(mixed, threshold, k, per_cent))
     if not cross.isEmpty():
@@ -189,18 +189,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _cross(mixed: DataFrame, threshold: float, k: int, per_cent: int) -> DataFrame:
-    """Links (a, b), confirmed on full sets, that join different components of a bucket; mixed has (band, key, id, size, c, stray, sig, text).
+    """Links (a, b), confirmed on full sets, that join different components of a bucket; mixed has (band, key, id, size, words, strays, c, stray, sig, text).
 
-    A bucket's members fall into blocks of BLOCK in the mean by a hash of their ids. Strays, which are outside the bucket's
-    largest component, are compared with all members; each block of strays meets each block of members in a group of its
-    own, so a group's size is bounded. A pair is looked at only in the first band in which it is equal, and not once links
+    A bucket's members fall into blocks of BLOCK documents or BLOCK_WORDS shingles in the mean by a hash of their ids, and so do
+    its strays, those outside the bucket's largest component. Each block of strays meets each block of members in a group of its
+    own, so a group's size is bounded, and a member's text is sent as often as there are blocks of strays (once for a few). A pair is looked at only in the first band in which it is equal, and not once links
     found in the group have joined its components.
     """
-    n = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
-    dealt = mixed.withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    blocks = F.sequence(F.lit(0), F.col("n") - 1)
-    as_target = F.transform(blocks, lambda b: F.struct(F.col("own").alias("mb"), b.alias("sb"), F.lit(True).alias("target"), (F.col("stray") & (b == F.col("own"))).alias("seeks")))
-    as_stray = F.transform(F.filter(blocks, lambda b: F.col("stray") & (b != F.col("own"))), lambda b: F.struct(b.alias("mb"), F.col("own").alias("sb"), F.lit(False).alias("target"), F.lit(True).alias("seeks")))
+    n = F.ceil(F.greatest(F.lit(1.0), F.col("size") / BLOCK, F.col("words") / BLOCK_WORDS))
+    ns = F.ceil(F.greatest(F.lit(1.0), n * F.col("strays") / F.col("size")))  # blocks of strays are as large as those of members
+    dealt = mixed.withColumn("n", n.cast("int")).withColumn("ns", ns.cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).withColumn("os", F.pmod(F.xxhash64("id", F.lit(1)), F.col("ns")).cast("int"))
+    as_target = F.transform(F.sequence(F.lit(0), F.col("ns") - 1), lambda b: F.struct(F.col("own").alias("mb"), b.alias("sb"), F.lit(True).alias("target"), (F.col("stray") & (b == F.col("os"))).alias("seeks")))
+    as_stray = F.transform(F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda b: F.col("stray") & (b != F.col("own"))), lambda b: F.struct(b.alias("mb"), F.col("os").alias("sb"), F.lit(False).alias("target"), F.lit(True).alias("seeks")))
     dealt = dealt.select("band", "key", "id", "c", "sig", "text", F.explode_outer(F.concat(as_target, as_stray)).alias("x")).select("band", "key", "x.*", "id", "c", "sig", "text")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:

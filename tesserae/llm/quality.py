@@ -1,9 +1,11 @@
 """Quality classifier by co-training of two views of a document: its text and its metadata.
 
-Each view has a logistic regression over binary features. Over some rounds each view labels the unlabelled documents that it
-is sure of for the other; then both are calibrated on labelled documents kept apart, and their log odds are added. The
-models are fitted on the driver from bounded samples (LABELLED, POOL documents, taken by a hash of the id, so the same on
-each run); every document is scored, in the tasks, with weights of fixed size.
+Each view has a logistic regression over binary features, scaled by the log ratios of their counts. In each round each view
+labels the documents that it is sure of for the other, among all documents outside the labelled sample: tasks score them with
+the models and count the features of those taken, and the sums (a row a feature at most) are the other view's counts in the
+next round, at the weight that the labelled ones have. Then both are calibrated on labelled documents kept apart, and their log
+odds are added. Only the labelled sample (LABELLED documents in the mean of a hash of the id, so the same on each run) is fitted
+on the driver; every document is scored, in the tasks, with weights of fixed size.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import id_key, packed, slices, spread, stored, text_of, unpacked, utf8
 from .words import ALNUM, U, mix, words_of
 
-#: Documents that the models are fitted on at most (in the mean of the hash), and unlabelled ones that are pseudo-labelled.
-LABELLED, POOL = 16_000, 8_000
+#: Labelled documents that the models are fitted on at most (in the mean of the hash).
+LABELLED = 16_000
 ROUNDS, SURE, HELD_OUT = 3, 0.97, 5
 TEXT_BITS, META_BITS = 18, 12
 _UPPER = np.zeros(256, bool)
@@ -91,16 +93,26 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def fit(ids: np.ndarray, bounds: np.ndarray, y: np.ndarray, weight: np.ndarray, dims: int, steps: int = 80) -> Model:
-    """Logistic regression over features scaled by their log count ratios, by gradient steps with momentum."""
+def counted(ids: np.ndarray, bounds: np.ndarray, y: np.ndarray, weight: np.ndarray, dims: int) -> np.ndarray:
+    """(2, dims + 1): how often each feature stands in documents of y = 1 and y = 0, and in the last column how many these are."""
     row = np.repeat(np.arange(len(y)), np.diff(bounds))
-    on, off = (np.bincount(ids, weights=weight[row] * side[row], minlength=dims) for side in (y, 1 - y))
-    total_on, total_off = (y * weight).sum(), ((1 - y) * weight).sum()
+    return np.stack([np.append(np.bincount(ids, weights=(weight * side)[row], minlength=dims), (weight * side).sum()) for side in (y, 1 - y)])
+
+
+def fit(ids: np.ndarray, bounds: np.ndarray, y: np.ndarray, dims: int, more: np.ndarray | None = None, steps: int = 80) -> Model:
+    """Logistic regression over features scaled by their log count ratios, by gradient steps with momentum. `more` are counts
+    of pseudo-labelled documents; they get the weight that all labelled ones have."""
+    row, weight = np.repeat(np.arange(len(y)), np.diff(bounds)), np.ones(len(y))
+    counts = counted(ids, bounds, y, weight, dims)
+    total_on, total_off = counts[:, -1]
     prior = float(np.log((total_on + 1) / (total_off + 1)))
+    if more is not None and more[:, -1].min() > 0:
+        counts = counts + more * (counts[:, -1:] / more[:, -1:])  # of each kind as many as are labelled
+    (on, off), (sum_on, sum_off) = counts[:, :-1], counts[:, -1]
     if not total_on or not total_off:
         return Model(np.zeros(dims), prior)
-    share = total_on / (total_on + total_off)
-    ratio = np.log((on + 2 * share) / (total_on + 2 * share)) - np.log((off + 2 * (1 - share)) / (total_off + 2 * (1 - share)))
+    share = sum_on / (sum_on + sum_off)
+    ratio = np.log((on + 2 * share) / (sum_on + 2 * share)) - np.log((off + 2 * (1 - share)) / (sum_off + 2 * (1 - share)))
     x, w, b = ratio[ids], np.zeros(dims), prior
     m, v, mb, vb = np.zeros(dims), np.zeros(dims), 0.0, 0.0
     n = weight.sum()
@@ -166,27 +178,26 @@ class CoTrained:
         return sigmoid(a), sigmoid(b), sigmoid(np.clip(a + b - self.prior, -30, 30))
 
 
-def co_train(text: Ragged, meta: Ragged, y: np.ndarray, rounds: int = ROUNDS, sure: float = SURE) -> CoTrained:
-    """y: 1, 0, or -1 where unlabelled. Of the labelled, each HELD_OUT-th is kept apart for calibration."""
-    labelled, pool = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
-    apart = labelled[HELD_OUT - 1 :: HELD_OUT]
-    own = np.setdiff1d(labelled, apart)
-    given = {"text": (own, y[own]), "meta": (own, y[own])}
-    views = {"text": (text, 1 << TEXT_BITS), "meta": (meta, 1 << META_BITS)}
-    models: dict[str, Model] = {}
-    for round_ in range(rounds):
-        for name, (features, dims) in views.items():
-            rows, labels = given[name]
-            weight = np.where(y[rows] >= 0, 1.0, 0.25)
-            models[name] = fit(*features.take(rows), labels.astype(np.float64), weight, dims)
-        if round_ + 1 < rounds and len(pool):
-            for name, other in (("text", "meta"), ("meta", "text")):
-                p = sigmoid(models[name].odds(*views[name][0].take(pool)))
-                certain = (p >= sure) | (p <= 1 - sure)
-                given[other] = (np.concatenate([own, pool[certain]]), np.concatenate([y[own], (p[certain] >= 0.5).astype(y.dtype)]))
-    scales = [platt(models[n].odds(*views[n][0].take(apart)), y[apart].astype(np.float64)) for n in ("text", "meta")]
-    prior = float(np.log(((y[labelled] == 1).sum() + 1) / ((y[labelled] == 0).sum() + 1)))
-    return CoTrained(models["text"], models["meta"], *scales, prior)
+DIMS = {"text": 1 << TEXT_BITS, "meta": 1 << META_BITS}
+
+
+class Sample:
+    """The labelled documents of one target; each HELD_OUT-th is kept apart for calibration."""
+
+    def __init__(self, text: Ragged, meta: Ragged, y: np.ndarray):
+        self.views, self.y = {"text": text, "meta": meta}, y
+        self.labelled = np.flatnonzero(y >= 0)
+        self.apart = self.labelled[HELD_OUT - 1 :: HELD_OUT]
+        self.own = np.setdiff1d(self.labelled, self.apart)
+
+    def fitted(self, more: dict[str, np.ndarray]) -> dict[str, Model]:
+        return {n: fit(*v.take(self.own), self.y[self.own].astype(np.float64), DIMS[n], more.get(n)) for n, v in self.views.items()}
+
+    def calibrated(self, models: dict[str, Model]) -> CoTrained:
+        y = self.y[self.apart].astype(np.float64)
+        scales = [platt(models[n].odds(*self.views[n].take(self.apart)), y) for n in ("text", "meta")]
+        prior = float(np.log(((self.y[self.labelled] == 1).sum() + 1) / ((self.y[self.labelled] == 0).sum() + 1)))
+        return CoTrained(models["text"], models["meta"], *scales, prior)
 
 
 def _picked(name: str, share: float, salt: int) -> Column:
@@ -194,7 +205,37 @@ def _picked(name: str, share: float, salt: int) -> Column:
     return F.pmod(F.xxhash64(name, F.lit(salt)), F.lit(1 << 30)) < int(share * (1 << 30))
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("lang", "source", "n_chars"), labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> DataFrame:
+def _pseudo_counts(rows: DataFrame, names: list[str], models: list[dict[str, Model]], used: np.ndarray, sure: float) -> list[dict[str, np.ndarray]]:
+    """For each target and view: the feature counts of the documents that the other view is sure of, over all rows but those of
+    the ids `used`. Tasks send sums, of which there are as many as features at most."""
+    shared = rows.sparkSession.sparkContext.broadcast((models, used))
+    places = [(t, n, o) for t in range(len(models)) for n, o in (("text", "meta"), ("meta", "text"))]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models, used = shared.value
+        sums = [np.zeros((2, DIMS[n] + 1)) for _, n, _ in places]
+        for batch in slices(batches, "text"):
+            free = pa.array(~np.isin(np.asarray(batch.column("id")), used))
+            batch = batch.filter(free)
+            views = {"text": text_features(batch.column("text")), "meta": meta_features([batch.column(c) for c in names])}
+            for total, (t, n, o) in zip(sums, places, strict=True):
+                p = sigmoid(models[t][o].odds(*views[o]))
+                total += counted(*views[n], (p >= 0.5).astype(np.float64), ((p >= sure) | (p <= 1 - sure)).astype(np.float64), DIMS[n])
+        for i, total in enumerate(sums):
+            some = np.flatnonzero(total.any(axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), i)), pa.array(some), pa.array(total[0, some]), pa.array(total[1, some])], names=["i", "feature", "a", "b"])
+
+    table = rows.mapInArrow(count, "i long, feature long, a double, b double").groupBy("i", "feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
+    out: list[dict[str, np.ndarray]] = [{} for _ in models]
+    which, feature, a, b = (np.asarray(table.column(c)) for c in ("i", "feature", "a", "b"))
+    for i, (t, n, _) in enumerate(places):
+        here = which == i
+        out[t][n] = np.zeros((2, DIMS[n] + 1))
+        out[t][n][:, feature[here]] = a[here], b[here]
+    return out
+
+
+def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("lang", "source", "n_chars"), labelled: int = LABELLED, rounds: int = ROUNDS, sure: float = SURE) -> DataFrame:
     """docs with p_text, p_meta, quality (each view's and the joint probability of label quality = 1), toxic (the joint
     probability of label toxic = 1) and keep (quality >= 0.5 and toxic <= 0.5).
 
@@ -207,7 +248,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     ok = lambda c: F.when(F.col(c).isin(0, 1), F.col(c).cast("int"))
     known = labels.select(id_key(id_col).alias("id"), ok("quality").alias("q"), ok("toxic").alias("x")).where("q is not null or x is not null")
-    total, n_known = docs.select(F.count(F.lit(1))).first()[0], known.count()
+    n_known = known.count()
     metas = [c for c in meta_cols if c in docs.columns]
     numeric = {f.name for f in docs.schema.fields if f.dataType.simpleString() in ("tinyint", "smallint", "int", "bigint", "float", "double")}
     meta = [(F.col(f"`{c}`").cast("double") if c in numeric else F.col(f"`{c}`").cast("string")).alias(f"m{i}") for i, c in enumerate(metas)]
@@ -217,18 +258,20 @@ def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             out = [pa.ListArray.from_arrays(pa.array(b.astype(np.int32)), pa.array(ids)) for ids, b in (text_features(batch.column("text")), meta_features([batch.column(c) for c in names]))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("q"), batch.column("x"), *out], names=["id", "q", "x", "t", "m"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "q", "x", "th")], *out], names=["id", "q", "x", "th", "t", "m"])
 
     rows = docs.select(id_key(id_col).alias("id"), text_of(text_col).alias("text"), *meta)
     some = known.where(_picked("id", min(1.0, labelled / max(1, n_known)), 1)).groupBy("id").agg(F.min("q").alias("q"), F.max("x").alias("x"))
-    free = _picked("id", min(1.0, pool / max(1, total)), 2)
-    others = rows.select("id").where(free).distinct().join(known.where(free).select("id"), "id", "left_anti")
-    wanted = some.union(others.select("id", F.lit(None).cast("int"), F.lit(None).cast("int")))
-    wanted = stored(wanted)  # LABELLED + POOL rows in the mean
-    sample = rows.join(F.broadcast(wanted), "id").select("id", "q", "x", "text", *names).mapInArrow(features, "id long, q int, x int, t array<int>, m array<int>").toArrow()
-    sample = sample.sort_by("id")
+    wanted = stored(some)  # LABELLED rows in the mean
+    sample = rows.join(F.broadcast(wanted), "id").select("id", "q", "x", F.xxhash64("text", *names).alias("th"), "text", *names).mapInArrow(features, "id long, q int, x int, th long, t array<int>, m array<int>").toArrow()
+    sample = sample.sort_by([("id", "ascending"), ("th", "ascending")])  # rows of one id in a fixed order
     text, other = Ragged(sample, "t"), Ragged(sample, "m")
-    judged = [co_train(text, other, np.asarray(pc.fill_null(sample.column(c), -1)).astype(np.int64), rounds) for c in ("q", "x")]
+    targets = [Sample(text, other, np.asarray(pc.fill_null(sample.column(c), -1)).astype(np.int64)) for c in ("q", "x")]
+    models = [t.fitted({}) for t in targets]
+    used = np.unique(np.asarray(sample.column("id")))
+    for _ in range(rounds - 1 if n_known else 0):
+        models = [t.fitted(more) for t, more in zip(targets, _pseudo_counts(rows, names, models, used, sure), strict=True)]
+    judged = [t.calibrated(m) for t, m in zip(targets, models, strict=True)]
     shared = spark.sparkContext.broadcast(judged)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

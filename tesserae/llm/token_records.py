@@ -22,6 +22,8 @@ from .common import id_back, id_key, slices, text_of
 from .tokens import PieceEncoder
 
 HEAD, TAIL = 12, 5
+#: Bytes of text that a shard holds in the mean; its ids take about as many, well under what one row of a file may have.
+SHARD_BYTES = 128 << 20
 
 
 def masked(crc: int) -> int:
@@ -58,11 +60,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
 
     Null text is empty: a record of end_id alone. A null id counts as the smallest long. Rows of one id stand in the order
     of their texts; repeated rows make repeated records. An empty table makes an index without rows. Other columns are
-    not read, so any names do. The ids are dealt by ranges, as many as `shards` says or else spark.sql.shuffle.partitions.
+    not read, so any names do. The ids are dealt by ranges, as many as `shards` says or else one for each SHARD_BYTES of text, at least spark.sql.shuffle.partitions.
     """
     spark = docs.sparkSession
     rows = docs.select(id_key(id_col).alias("id"), text_of(text_col).alias("text"))
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES)
     dealt = rows.repartitionByRange(n, "id", F.xxhash64("text")).sortWithinPartitions("id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

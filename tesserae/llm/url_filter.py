@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import packed, slices, unpacked, utf8
 
 ONE = np.uint64(1)
+#: Bytes of the states of the URLs that are read side by side.
+STATE_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -114,13 +116,22 @@ def filter_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", defau
     rows = rows.withColumn("_canonical", F.concat("_host", "_path"))
     ranked = sorted(rules, key=lambda r: (-len(r.rule), r.rule))  # the first that fits wins
     auto = compile_rules(ranked)
+    masks, accept = np.zeros(auto.words, np.uint64), {}
+    for word, bit, i in auto.accept:
+        masks[word] |= bit
+        accept.setdefault(word, []).append((bit, i))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_canonical"):
-            state = run(auto, *utf8(batch.column("_canonical")))
             best = np.full(batch.num_rows, len(ranked))
-            for word, bit, i in auto.accept:
-                best = np.where((state[:, word] & bit) != 0, np.minimum(best, i), best)
+            each = max(1, STATE_BYTES // (8 * auto.words))
+            for at in range(0, batch.num_rows, each):
+                state = run(auto, *utf8(batch.column("_canonical").slice(at, each)))
+                for word in np.flatnonzero((state & masks).any(axis=0)):
+                    some = np.flatnonzero(state[:, word] & masks[word])
+                    for bit, i in accept[word]:
+                        hit = some[state[some, word] & bit != 0]
+                        best[at + hit] = np.minimum(best[at + hit], i)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("_row", "_host", "_path")], pa.array(best.astype(np.int32))], names=["_row", "_host", "_path", "_rule"])
 
     schema = rows.drop("_canonical").withColumn("_rule", F.lit(0)).schema

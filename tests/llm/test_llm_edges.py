@@ -124,3 +124,57 @@ def test_substrings_are_those_of_brute_force(spark):
         want.append((len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
     got = dedup_substrings(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).orderBy("doc_id").collect()
     assert [(r.n_words, r.n_removed, r.text) for r in got] == want
+
+
+def test_long_prefixes_in_parts_give_the_same(spark):
+    frame = spark.createDataFrame(list(enumerate(corpus(7) * 3)), "doc_id long, text string").repartition(20)
+    got = [sorted(map(tuple, dedup_substrings(frame, limit=limit).collect())) for limit in (50_000, 4, 1)]
+    assert got[0] == got[1] == got[2]
+
+
+def test_a_column_named_as_the_marker_of_packed_rows(spark):
+    assert [tuple(r) for r in dedup_lines(spark.createDataFrame([(1, "a", 5)], "doc_id long, text string, _is int")).collect()] == [(1, "a", 5, 1, 0)]
+
+
+def test_damaged_and_many_track_files(spark):
+    import struct
+
+    from tesserae.llm.media import box, boxes, inspect, padded, wrap
+
+    good = wrap(padded(b"x" * 1000))
+    at = good.index(b"stsz") + 12
+    huge = good[:at] + struct.pack(">I", 2**32 - 1) + good[at + 4 :]
+    at = good.index(b"stco") + 12
+    far = good[:at] + struct.pack(">I", 1_000_000) + good[at + 4 :]
+    top = {kind: good[a:b] for kind, a, b in boxes(memoryview(good), 0, len(good))}
+    track = next(top[b"moov"][a:b] for kind, a, b in boxes(memoryview(top[b"moov"]), 0, len(top[b"moov"])) if kind == b"trak")
+    two = good[: good.index(b"moov") - 4] + box(b"moov", top[b"moov"], box(b"trak", track)) + box(b"mdat", bytes(2000))
+    files = [good, huge, far, good[:100], b"", b"no media", two, box(b"ftyp") + box(b"moof"), None]
+    out = inspect_media(spark.createDataFrame([(i, f) for i, f in enumerate(files)], "doc_id long, media binary"), payload=True).orderBy("doc_id").collect()
+    assert [r.error is None for r in out] == [True, False, False, False, False, False, True, False, True]
+    assert out[0].payload == padded(b"x" * 1000) and len(out[6].tracks) == 2 and out[6].tracks[1].n_samples == inspect(good)[0]["n_samples"]
+
+
+def test_a_common_line_is_dropped_by_broadcast_as_by_join(spark, monkeypatch):
+    from tesserae.llm import line_dedup
+
+    frame = spark.createDataFrame([(i, f"a line that all have\nline number {i} of its own\npair line {i // 2} of two") for i in range(40)], "doc_id long, text string")
+    want = sorted(map(tuple, dedup_lines(frame).collect()))
+    monkeypatch.setattr(line_dedup, "HOT_KEYS", 12)
+    assert sorted(map(tuple, dedup_lines(frame).collect())) == want and want[1][3] == 2 and want[2][3] == 1
+
+
+def test_rules_of_many_words_in_small_blocks(spark, monkeypatch):
+    from tesserae.llm import url_filter
+
+    monkeypatch.setattr(url_filter, "STATE_BYTES", 4096)
+    test_many_rules_need_several_words(spark)
+
+
+def test_large_template_sets_are_joined(spark, monkeypatch):
+    from tesserae.llm import license_scan
+
+    frame = spark.createDataFrame([(1, "so it is Released under the MIT License. and more")], "doc_id long, text string")
+    want = scan_licenses(frame).collect()
+    monkeypatch.setattr(license_scan, "BROADCAST_WORDS", 10)
+    assert scan_licenses(frame).collect() == want and want[0].n_licenses == 1
