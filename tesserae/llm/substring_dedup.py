@@ -32,6 +32,8 @@ from .words import SPACES, U, Words, grams, mix, sliding_min, words_of
 WINDOW, K = 20, 8
 #: Documents with one prefix that a task takes, and bytes of suffixes in a group's task.
 LIMIT, GROUP_BYTES = 50_000, 32 << 20
+#: Bytes of texts that a task works on at a time.
+SLICE = 2 << 20
 #: Bytes that a suffix takes in the mean; decides only how many groups there are.
 SUFFIX_BYTES = 160
 #: Windows `at` to `at + n - 1` of a document with their words; n = 0: a span that is settled, up to the word `end`.
@@ -140,7 +142,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
         """(p, id): the anchors of each row's windows, once a row."""
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "text"):
+            for batch in slices(batches, "text", SLICE):
                 words = words_of(batch.column("text"), SPACES, lower=False)
                 at, anchor, _ = anchored(words, window, k)
                 text = words.text[at]
@@ -166,7 +168,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size)
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             s = Slice(batch, window, k)
             d, a, b = runs(s.doc[s.repeat], s.place[s.repeat], window)
             if len(d):
@@ -240,7 +242,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     both = rows.join(spans.withColumnRenamed("id", "_id"), "_id", "left").select("_row", "_text", "_spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", SLICE):
             words = words_of(batch.column("_text"), SPACES, lower=False, hashed=False)
             count = np.diff(words.first)
             lists = batch.column("_spans")
