@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .connect import linked_components
 from .objects import faces
 
 
@@ -76,3 +77,16 @@ def contact_area(labels: DataFrame) -> DataFrame:
     pairs = faces(labels, "img", "label").where("label != label2")
     both = pairs.select("img", "label").union(pairs.select("img", "label2"))
     return both.where("label != 0").groupBy("img", "label").agg(F.count("*").alias("contact"))
+
+
+def merged(labels: DataFrame, share: float) -> DataFrame:
+    """The labels with those joined whose faces' mean strength is among the least `share` of the image's: a label becomes the
+    least one that such edges reach. Components are taken of labels, not of cells."""
+    edges = region_graph(labels)
+    weak = edges.join(edges.groupBy("img").agg(F.percentile("mean", F.lit(share)).alias("t")), "img").where("mean <= t")
+    own = labels.select("img", "label").where("label != 0").distinct()
+    top = own.agg(F.max("label")).first()[0] or 0
+    key = lambda c: F.col("img").cast("long") * (top + 1) + F.col(c)
+    found = linked_components(weak.select(key("a").alias("a"), key("b").alias("b")))
+    new = own.withColumn("id", key("label")).join(found, "id", "left").select("img", "label", F.coalesce(F.pmod("component", F.lit(top + 1)), "label").alias("new"))
+    return labels.join(new, ["img", "label"], "left").withColumn("label", F.coalesce("new", F.lit(0)).cast("long")).drop("new")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .connect import linked_components
-from .objects import faces, label_components, linear
+from .blocks import map_blocks, shifted
+from .objects import forward, label_components
 
 CELL = ["img", "z", "y", "x"]
 
@@ -19,12 +20,16 @@ def hysteresis(vol: DataFrame, low: DataFrame, high: DataFrame) -> DataFrame:
     return cells.join(cells.where("sure").select("img", "label").distinct(), ["img", "label"], "left_semi").drop("sure")
 
 
-def regional_maxima(vol: DataFrame) -> DataFrame:
-    """The cells of plateaus (cells of one value linked by faces) with no larger neighbour. A volume of one value is one plateau."""
-    cells = vol.select(*CELL, "v", linear().alias("id"))
-    pairs = faces(cells, "id", "v")
-    plateau = linked_components(pairs.where("v = v2").select(F.col("id").alias("a"), F.col("id2").alias("b")))
-    beaten = pairs.where("v != v2").select(F.when(F.col("v") < F.col("v2"), F.col("id")).otherwise(F.col("id2")).alias("id")).distinct()
-    joined = cells.join(plateau, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    low = joined.join(beaten, "id", "left_semi").select("component").distinct()
-    return joined.join(low, "component", "left_anti").select(*CELL, "v")
+def regional_maxima(vol: DataFrame, connectivity: int = 6) -> DataFrame:
+    """The cells of plateaus (neighbours of one value) with no larger neighbour. A volume of one value is one plateau."""
+    steps = forward(connectivity)
+
+    def beaten(a: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        v = shifted(a["v"], (0, 0, 0), (1, 1, 1))
+        around = [shifted(np.where(a["inside"], a["v"], -np.inf), tuple(s * x for x in o), (1, 1, 1)) for o in steps for s in (1, -1)]
+        return {"v": v, "low": np.maximum.reduce(around) > v}
+
+    cells = map_blocks(vol.selectExpr(*CELL, "v", "true as inside"), beaten, "v double, low boolean", (1, 1, 1), "constant")
+    plateaus = label_components(cells.withColumn("m", F.lit(True)), connectivity, by="v")
+    low = plateaus.where("low").select("img", "label").distinct()
+    return plateaus.join(low, ["img", "label"], "left_anti").select(*CELL, "v")

@@ -6,6 +6,10 @@ what follows works on these. The threshold joins back on img.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,3 +113,82 @@ def low_contrast(vol: DataFrame, fraction: float, low: float = 0.01, high: float
     """(img, flat): whether the span of the percentiles is at most that fraction of the whole span; an image of one value is flat."""
     s = vol.groupBy("img").agg(F.percentile("v", F.lit(low)).alias("p"), F.percentile("v", F.lit(high)).alias("q"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     return s.select("img", (F.col("q") - F.col("p") <= fraction * (F.col("hi") - F.col("lo"))).alias("flat"))
+
+
+def mean(vol: DataFrame) -> DataFrame:
+    return vol.groupBy("img").agg(F.avg("v").alias("threshold"))
+
+
+def li(vol: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """(img, threshold): Li's minimum cross entropy, iterated from the mean. Values that aren't all positive are shifted to start
+    at 1. Each image's different values and their counts are one row's arrays, so a round costs no shuffle."""
+    counts = vol.groupBy("img", "v").agg(F.count("*").alias("n"))
+    lists = counts.groupBy("img").agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("c"))
+    schema = "img int, threshold double"
+
+    def work(batches):
+        for batch in batches:
+            out = [_li(np.array([x["v"] for x in c]), np.array([x["n"] for x in c], float), rounds) for c in batch.column("c").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("img"), pa.array(out, pa.float64())], names=["img", "threshold"])
+
+    return lists.mapInArrow(work, schema)
+
+
+def _li(v: np.ndarray, n: np.ndarray, rounds: int) -> float:
+    shift = 1.0 - v.min() if v.min() <= 0 else 0.0
+    v = v + shift
+    if len(v) == 1:
+        return float(v[0] - shift)
+    close = max(abs(v.max() - v.min()) * 1e-12, 1e-12)
+    total, many = np.cumsum(v * n), np.cumsum(n)
+    t = total[-1] / many[-1]
+    for _ in range(rounds):
+        k = int(np.searchsorted(v, t, side="right"))
+        if not 0 < k < len(v):
+            break
+        low, high = total[k - 1] / many[k - 1], (total[-1] - total[k - 1]) / (many[-1] - many[k - 1])
+        after = (low - high) / (math.log(low) - math.log(high))
+        if abs(after - t) <= close:
+            t = after
+            break
+        t = after
+    return float(t - shift)
+
+
+def multi_otsu(vol: DataFrame, bins: int = 64) -> DataFrame:
+    """(img, low, high): centres of the bins that end the first two of three classes with the largest variance between classes;
+    of equal splits the first. Pairs of bins are joined, bins ** 2 / 2 rows an image."""
+    h = histogram(vol, bins)
+    upto = Window.partitionBy("img").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("img")
+    s = h.select("img", "bin", "centre", F.sum("n").over(upto).alias("c"), F.sum(F.col("n") * F.col("centre")).over(upto).alias("s"), F.sum("n").over(whole).alias("nn"), F.sum(F.col("n") * F.col("centre")).over(whole).alias("ss"))
+    b = s.select("img", *[F.col(c).alias(f"{c}2") for c in ("bin", "centre", "c", "s")])
+    pair = s.join(b, "img").where("bin < bin2 and c > 0 and c2 > c and nn > c2")
+    score = F.expr("round(s * s / c + (s2 - s) * (s2 - s) / (c2 - c) + (ss - s2) * (ss - s2) / (nn - c2), 6)")
+    return pair.groupBy("img").agg(F.max_by(F.struct("centre", "centre2"), F.struct(score, -F.col("bin"), -F.col("bin2"))).alias("t")).select("img", F.col("t.centre").alias("low"), F.col("t.centre2").alias("high"))
+
+
+def minimum(vol: DataFrame, bins: int = 64, smoothings: int = 10_000) -> DataFrame:
+    """(img, threshold): the histogram is smoothed by the mean of three bins until it has two peaks; then the first lowest bin
+    between them. Null where that isn't reached. An image's histogram is one row."""
+    lists = histogram(vol, bins).groupBy("img").agg(F.array_sort(F.collect_list(F.struct("bin", "n", "centre"))).alias("h"))
+
+    def work(batches):
+        for batch in batches:
+            out = [_minimum(np.array([x["n"] for x in h], float), [x["centre"] for x in h], smoothings) for h in batch.column("h").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("img"), pa.array(out, pa.float64())], names=["img", "threshold"])
+
+    return lists.mapInArrow(work, "img int, threshold double")
+
+
+def _minimum(n: np.ndarray, centres: list[float], smoothings: int) -> float | None:
+    if len(n) == 1:
+        return centres[0]
+    for _ in range(smoothings):
+        wide = np.concatenate([[-np.inf], n, [-np.inf]])
+        peaks = np.flatnonzero((n > wide[:-2]) & (n > wide[2:]))
+        if len(peaks) == 2:
+            return centres[int(peaks[0] + n[peaks[0] : peaks[1] + 1].argmin())]
+        edge = np.concatenate([n[:1], n, n[-1:]])
+        n = (edge[:-2] + edge[1:-1] + edge[2:]) / 3
+    return None

@@ -83,7 +83,13 @@ def local_peaks(d: DataFrame, gate: float) -> DataFrame:
 def suppressed(d: DataFrame, gate: float) -> DataFrame:
     """The detections kept if each is taken by falling size, then id, unless one kept before is nearer than the gate in its
     frame: rounds of local peaks among those that are left, each round a table in the shared folder."""
-    pairs = stored(_beaten(d, gate))
+    return d.join(taken_away(_beaten(d, gate)), "id", "left_anti")
+
+
+def taken_away(pairs: DataFrame) -> DataFrame:
+    """(id) of those that one kept before them takes away, where pairs (id, other) say who goes before: an id is kept unless one of
+    its others is kept. No id may go before itself, not even by others."""
+    pairs = stored(pairs)
     gone = stored(pairs.select("id").limit(0))
     while not pairs.isEmpty():
         # only ids in pairs are open: one without a stronger neighbour left is kept, and so are those never beaten
@@ -91,7 +97,7 @@ def suppressed(d: DataFrame, gate: float) -> DataFrame:
         out = stored(pairs.join(kept.withColumnRenamed("id", "other"), "other", "left_semi").select("id").distinct())
         gone = gone.union(out)
         pairs = stored(pairs.join(out, "id", "left_anti").join(out.withColumnRenamed("id", "other"), "other", "left_anti").select("id", "other"))
-    return d.join(gone, "id", "left_anti")
+    return gone
 
 
 def link_scores(truth: DataFrame, made: DataFrame) -> DataFrame:

@@ -207,7 +207,7 @@ query("size_filter", f"WITH RECURSIVE {_masked(0.75)}, {_components('m', 'mk')}
 query(
     "clear_border",
     f"WITH RECURSIVE {_masked(0.75)}, {_components('m', 'mk')}, t AS (SELECT DISTINCT img, label FROM lab WHERE z IN (0, 11) OR y IN (0, 15) OR x IN (0, 15)) SELECT img, z, y, x, v, label FROM lab ANTI JOIN t USING (img, label)",
-    lambda s, d: objects.clear_border(objects.label_components(_mask(s, d, 0.75))).select(*CELL, "v", "label"),
+    lambda s, d: objects.clear_border(objects.label_components(_mask(s, d, 0.75)), lat.volume(s, d)).select(*CELL, "v", "label"),
 )
 query(
     "fill_holes",
@@ -297,4 +297,4 @@ query(
     lambda s, d: track.local_peaks(lat.detections(s, d), 50.0),
 )
 
-from . import images  # noqa: E402,F401  adds its queries to these
+from . import images, volumes  # noqa: E402,F401  add their queries to these
