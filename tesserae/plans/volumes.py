@@ -27,14 +27,16 @@ def values(offsets: dict | list) -> str:
     return f"(VALUES {', '.join('(' + ', '.join(map(repr, [*o, *map(float, w)])) + ')' for o, w in items)}) AS o(dz, dy, dx, {names})"
 
 
-def near(source: str, offsets: dict | list, mode: str = "clamp", value: str = "v") -> str:
-    """A row per cell and offset with the value there as nv: "clamp", "reflect", or "inside" for those in the volume only."""
+def near(source: str, offsets: dict | list, mode: str = "clamp", value: str = "v", target: str | None = None) -> str:
+    """A row per cell and offset with the value there (of target, else of source) as nv: "clamp", "reflect", or "inside" for
+    those in the volume only. Cells and offsets meet first, so that the rest is an equi-join."""
     place = {
         "clamp": lambda a: f"least(greatest(p.{a} + o.d{a}, 0), {N[a] - 1})",
         "reflect": lambda a: f"CASE WHEN p.{a} + o.d{a} < 0 THEN -(p.{a} + o.d{a}) - 1 WHEN p.{a} + o.d{a} >= {N[a]} THEN {2 * N[a] - 1} - (p.{a} + o.d{a}) ELSE p.{a} + o.d{a} END",
         "inside": lambda a: f"p.{a} + o.d{a}",
     }[mode]
-    return f"(SELECT p.*, o.*, q.{value} AS nv FROM {source} p CROSS JOIN {values(offsets)} JOIN {source} q ON q.img = p.img AND {' AND '.join(f'q.{a} = {place(a)}' for a in 'zyx')})"
+    keys = ", ".join(f"{place(a)} AS k{a}" for a in "zyx")
+    return f"(WITH po AS MATERIALIZED (SELECT p.*, o.*, {keys} FROM {source} p CROSS JOIN {values(offsets)}) SELECT po.*, {', '.join(f'q.{v} AS n{v}' for v in value.split())} FROM po JOIN {target or source} q ON q.img = po.img AND q.z = kz AND q.y = ky AND q.x = kx)"
 
 
 def product(a: list[float], b: list[float], c: list[float]) -> dict[tuple[int, int, int], float]:
@@ -110,7 +112,7 @@ for _name, _first in (("mask_open", False), ("mask_close", True)):
 _ON, _OFF = [(0, 0, 0), (0, 0, 1)], [(0, 0, -1), (0, 1, 0)]
 query(
     "hit_or_miss",
-    f"WITH {_masked(0.5)}, h AS (SELECT {AT}, count(*) FILTER (WHERE w0 = 1 AND nv) = {len(_ON)} AND count(*) FILTER (WHERE w0 = 0 AND nv) = 0 AS m FROM {near('mk', {**dict.fromkeys(_ON, 1.0), **dict.fromkeys(_OFF, 0.0)}, 'inside', 'm')} GROUP BY {AT}) SELECT * FROM h",
+    f"WITH {_masked(0.5)}, h AS (SELECT {AT}, count(*) FILTER (WHERE w0 = 1 AND nm) = {len(_ON)} AND count(*) FILTER (WHERE w0 = 0 AND nm) = 0 AS m FROM {near('mk', {**dict.fromkeys(_ON, 1.0), **dict.fromkeys(_OFF, 0.0)}, 'inside', 'm')} GROUP BY {AT}) SELECT * FROM h",
     lambda s, d: filters.hit_or_miss(_mask(s, d, 0.5), _ON, _OFF),
 )
 _STATS = f"st AS (SELECT {AT}, any_value(v) AS v, avg(nv) AS mean, sqrt(greatest(avg(nv * nv) - avg(nv) * avg(nv), 0)) AS deviation FROM {near('vol', [(a, b, c) for a in (-1, 0, 1) for b in range(-2, 3) for c in range(-2, 3)], 'inside')} GROUP BY {AT})"
@@ -143,10 +145,10 @@ u AS (SELECT {AT}, c, sqrt(greatest(b - a * a / {len(TEMPLATE)}, 0)) * size AS n
 _FLOW = lambda name, source: f"{name} AS (SELECT {AT}, any_value(v) + 0.1 * sum((nv - v) * exp(-pow((nv - v) / 100.0, 2))) AS v FROM {near(source, cross(), 'inside')} GROUP BY {AT})"
 query("diffuse", f"WITH {VOL}, {_FLOW('a', 'vol')}, {_FLOW('b', 'a')} SELECT {AT}, round(v, 6) AS v FROM b", lambda s, d: rounded(filters.diffuse(lat.volume(s, d), 100.0, 0.1, 2), "v"))
 _EXT = f"(SELECT img, z, y, x FROM (SELECT DISTINCT img FROM vol), unnest(range(-2, {N['z'] + 2})) AS a(z), unnest(range(-2, {N['y'] + 2})) AS b(y), unnest(range(-2, {N['x'] + 2})) AS c(x))"
-_clamped = lambda a, s: ", ".join(f"(least(greatest(e.{c} + {s if c == a else 0}, 0), {N[c] - 1}))" for c in "zyx")
-_GRAD = f"gr AS (SELECT e.img, e.z, e.y, e.x, {', '.join(f'(p{a}.v - n{a}.v) / 2 AS g{a}' for a in 'zyx')} FROM {_EXT} e {' '.join(f'JOIN vol {k}{a} ON {k}{a}.img = e.img AND ({k}{a}.z, {k}{a}.y, {k}{a}.x) = ({_clamped(a, s)})' for a in 'zyx' for k, s in (('p', 1), ('n', -1)))})"
+_STEP = {tuple(t if i == k else 0 for i in range(3)): tuple(t / 2 if i == k else 0.0 for i in range(3)) for k in range(3) for t in (1, -1)}
+_GRAD = f"ext AS {_EXT}, gr AS (SELECT {AT}, {', '.join(f'sum(w{i} * nv) AS g{a}' for i, a in enumerate('zyx'))} FROM {near('ext', _STEP, 'clamp', target='vol')} GROUP BY {AT})"
 _pairs = [("z", "z"), ("z", "y"), ("z", "x"), ("y", "y"), ("y", "x"), ("x", "x")]
-_TENSOR = f"hs AS (SELECT p.img, p.z, p.y, p.x, {', '.join(f'sum(w0 * g{a} * g{b}) AS m_{a}{b}' for a, b in _pairs)} FROM vol p CROSS JOIN {values(G1)} JOIN gr q ON q.img = p.img AND q.z = p.z + dz AND q.y = p.y + dy AND q.x = p.x + dx GROUP BY ALL)"
+_TENSOR = f"hs AS (SELECT {AT}, {', '.join(f'sum(w0 * ng{a} * ng{b}) AS m_{a}{b}' for a, b in _pairs)} FROM {near('vol', G1, 'inside', 'gz gy gx', 'gr')} GROUP BY {AT})"
 query(
     "structure_tensor",
     f"WITH {VOL}, {_GRAD}, {_TENSOR}, {eigen_sql('hs', AT)} SELECT {AT}, round(e3, 3) AS e1, round(e2, 3) AS e2, round(e1, 3) AS e3 FROM ei",
