@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import assign, distance, filters, flood, graph, measures, objects, rows, segment, stencil, threshold, track
 from ..operators.blocks import ball, box, cross
+from ..sources import arrays
 from ..sources import lattice as lat
+from ..sources.shared import shared_dir
+from ..streaming import tallies
 from .registry import _CAND, _FACES, _HIST, CELL, DET, LAB, VOL, _mask, _masked, query
 
 N = dict(zip("zyx", (lat.NZ, lat.NY, lat.NX), strict=True))
@@ -365,3 +368,32 @@ query(
     f"WITH {DET}, {_CAND}, {_MUTUAL}, f AS (SELECT p.t, avg(q.y - p.y) AS dy, avg(q.x - p.x) AS dx FROM mu JOIN det p ON p.id = from_id JOIN det q ON q.id = to_id GROUP BY p.t) SELECT t, round(dy, 6) AS dy, round(dx, 6) AS dx, round(sum(dy) OVER (ORDER BY t), 6) AS sum_y, round(sum(dx) OVER (ORDER BY t), 6) AS sum_x FROM f",
     lambda s, d: (lambda e: (lambda r: r.select("t", *[F.round(c, 6).alias(c) for c in r.columns[1:]]))(assign.drift(e, track.mutual_links(track.candidates(e, 60.0)))))(lat.detections(s, d)),
 )
+
+
+# ---- arrays in files ----------------------------------------------------------------------------------------------
+def _zarr(s: SparkSession, d: str) -> str:
+    """Two levels of the volume, as written to the shared folder."""
+    path, v = shared_dir(s), lat.volume(s, d)
+    half = v.groupBy("img", *[F.floor(F.col(a) / 2).cast("int").alias(a) for a in "zyx"]).agg(F.avg("v").alias("v"))
+    for level, (vol, size) in enumerate(((v, (5, 7, 16)), (half, (8, 8, 8)))):
+        arrays.write_zarr(vol, path, level, 2, size)
+    return path
+
+
+query("zarr_round_trip", f"WITH {VOL} SELECT {AT}, v FROM vol", lambda s, d: arrays.read_zarr(s, _zarr(s, d)))
+query("zarr_level", f"WITH {VOL} SELECT img, z // 2 AS z, y // 2 AS y, x // 2 AS x, round(avg(v), 6) AS v FROM vol GROUP BY ALL", lambda s, d: rounded(arrays.read_zarr(s, _zarr(s, d), 1), "v"))
+
+
+def _npy(s: SparkSession, d: str) -> DataFrame:
+    path = shared_dir(s)
+    arrays.write_npy(lat.volume(s, d), path)
+    return arrays.read_npy(s, path, "[2-5]")
+
+
+query("npy_planes", f"WITH {VOL} SELECT {AT}, v FROM vol WHERE z BETWEEN 2 AND 5", _npy)
+# ---- streams ------------------------------------------------------------------------------------------------------
+query(
+    "event_tallies",
+    "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, event_type AS kind, count(*) AS n, round(sum(round(value, 2)), 2) AS total, max(value) AS largest FROM events GROUP BY ALL",
+    lambda s, d: tallies.tally(s, f"{d}/events.parquet", "event_id long, ts timestamp, user_id long, event_type string, value double, props string").withColumn("total", F.round("total", 2)),
+)
