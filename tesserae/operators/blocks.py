@@ -37,8 +37,8 @@ def _boxed(table: pa.Table, names: list[str]) -> tuple[np.ndarray, Arrays]:
 def map_blocks(vol: DataFrame, work: Callable[[Arrays], Arrays], columns: str, halo: tuple[int, int, int] = (0, 0, 0), pad: str = "edge", block: tuple[int, int, int] = BLOCK, fill: dict[str, float] | None = None) -> DataFrame:
     """(img, z, y, x) with `columns` (a schema), which `work` makes of the arrays of vol's other columns.
 
-    work gets each column as an array of the block's cells with `halo` cells more on each side, and returns arrays of the
-    block's cells alone, one for each column of `columns`. Beyond the volume's edge the arrays go on as `pad` says: "edge"
+    work gets each column as an array of the block's cells with `halo` cells more on each side, and `inside`, true for cells of the
+    volume; it returns arrays of the block's cells alone, one for each column of `columns`. Beyond the volume's edge the arrays go on as `pad` says: "edge"
     (the nearest cell), "symmetric" (mirrored half a cell outside), or "constant" (fill[column], else 0).
     """
     names = [c for c in vol.columns if c not in ("img", *AXES)]
@@ -59,7 +59,8 @@ def map_blocks(vol: DataFrame, work: Callable[[Arrays], Arrays], columns: str, h
         around = [(max(0, int(low[i] - (core_low[i] - halo[i]))), max(0, int(core_high[i] + halo[i] - (low[i] + shape[i])))) for i in range(3)]
         cut = tuple(slice(max(0, int(core_low[i] - halo[i] - low[i])), int(min(core_high[i] + halo[i], low[i] + shape[i]) - low[i])) for i in range(3))
         wide = {n: np.pad(v[cut], around, mode=pad, **({"constant_values": (fill or {}).get(n, 0)} if pad == "constant" else {})) for n, v in arrays.items()}
-        made = work(wide)
+        box_ = np.ones([c.stop - c.start for c in cut], bool)
+        made = work({**wide, "inside": np.pad(box_, around)})
         grid = np.indices(tuple(core_high - core_low)).reshape(3, -1) + core_low[:, None]
         return pa.table({"img": pa.array(np.full(grid.shape[1], img), pa.int32()), **{a: pa.array(g, pa.int32()) for a, g in zip(AXES, grid, strict=True)}, **{o: pa.array(made[o].reshape(-1), kinds[o]) for o in outs}})
 

@@ -7,7 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .blocks import AXES, ball, map_blocks, reach, shifted
+from .blocks import AXES, map_blocks, reach, shifted
 
 Offsets = list[tuple[int, int, int]]
 CELL = ["img", *AXES]
@@ -69,7 +69,7 @@ def twice(vol: DataFrame, offsets: Offsets, largest_first: bool) -> DataFrame:
         inside = a["inside"][tuple(slice(h, n - h) for h, n in zip(halo, a["inside"].shape, strict=True))]
         return {"v": _extreme(np.where(inside, first, np.inf if largest_first else -np.inf), offsets, halo, not largest_first)}
 
-    return map_blocks(vol.selectExpr(*CELL, "v", "true as inside"), work, "v double", wide, "constant")
+    return map_blocks(vol.select(*CELL, "v"), work, "v double", wide, "constant")
 
 
 def gradient(vol: DataFrame, offsets: Offsets) -> DataFrame:
@@ -80,7 +80,7 @@ def gradient(vol: DataFrame, offsets: Offsets) -> DataFrame:
         high, low = (np.where(a["inside"], a["v"], x) for x in (-np.inf, np.inf))
         return {"v": _extreme(high, offsets, halo, True) - _extreme(low, offsets, halo, False)}
 
-    return map_blocks(vol.selectExpr(*CELL, "v", "true as inside"), work, "v double", halo, "constant")
+    return map_blocks(vol.select(*CELL, "v"), work, "v double", halo, "constant")
 
 
 def hit_or_miss(mask: DataFrame, on: Offsets, off: Offsets) -> DataFrame:
@@ -105,7 +105,7 @@ def local_stats(vol: DataFrame, radius: tuple[int, int, int]) -> DataFrame:
         square = _separable(a["v"] * a["v"], ones) / n
         return {"v": a["v"][core], "mean": mean, "deviation": np.sqrt(np.maximum(square - mean * mean, 0))}
 
-    return map_blocks(vol.selectExpr(*CELL, "v", "true as inside"), work, "v double, mean double, deviation double", radius, "constant")
+    return map_blocks(vol.select(*CELL, "v"), work, "v double, mean double, deviation double", radius, "constant")
 
 
 def rank(vol: DataFrame, offsets: Offsets, share: float) -> DataFrame:
@@ -118,7 +118,7 @@ def rank(vol: DataFrame, offsets: Offsets, share: float) -> DataFrame:
         at = np.floor(share * (n - 1) + 0.5).astype(np.int64)
         return {"v": np.take_along_axis(stack, at[None], axis=0)[0]}
 
-    return map_blocks(vol.selectExpr(*CELL, "v", "true as inside"), work, "v double", halo, "constant")
+    return map_blocks(vol.select(*CELL, "v"), work, "v double", halo, "constant")
 
 
 def _derivatives(a: np.ndarray, halo: tuple[int, int, int]) -> dict[tuple[int, int], np.ndarray]:
@@ -245,7 +245,7 @@ def diffuse(vol: DataFrame, kappa: float, rate: float, rounds: int) -> DataFrame
             v, inside = here + rate * sum(g * np.exp(-((g / kappa) ** 2)) for g in gaps), there
         return {"v": v}
 
-    return map_blocks(vol.selectExpr(*CELL, "v", "true as inside"), work, "v double", (rounds, rounds, rounds), "constant")
+    return map_blocks(vol.select(*CELL, "v"), work, "v double", (rounds, rounds, rounds), "constant")
 
 
 def deconvolve(vol: DataFrame, psf: dict[tuple[int, int, int], float], rounds: int) -> DataFrame:
@@ -268,4 +268,37 @@ def deconvolve(vol: DataFrame, psf: dict[tuple[int, int, int], float], rounds: i
     return map_blocks(vol.select(*CELL, "v"), work, "v double", halo)
 
 
-BALL2 = ball(2)
+
+def feature_stack(vol: DataFrame, sigma: float, truncate: float = 4.0) -> DataFrame:
+    """(v, smooth, slope, laplacian, e1, e3) of each cell, for a classifier of cells: the value, and of the smoothed volume the value,
+    the gradient's length, the Laplacian and the outer eigenvalues of the second differences. One shuffle for all."""
+    weights = [gaussian_weights(sigma, truncate)] * 3
+    h = len(weights[0]) // 2 + 1
+    unit = [(1, 0, 0), (0, 1, 0), (0, 0, 1)]
+
+    def work(a: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        g = _separable(a["v"], weights)
+        slope = np.sqrt(sum(((shifted(g, u, (1, 1, 1)) - shifted(g, tuple(-x for x in u), (1, 1, 1))) / 2) ** 2 for u in unit))
+        d = _derivatives(g, (1, 1, 1))
+        e = _eigenvalues(d)
+        return {"v": shifted(a["v"], (0, 0, 0), (h, h, h)), "smooth": shifted(g, (0, 0, 0), (1, 1, 1)), "slope": slope, "laplacian": sum(d[i, i] for i in range(3)), "e1": e[..., 0], "e3": e[..., 2]}
+
+    return map_blocks(vol.select(*CELL, "v"), work, "v double, smooth double, slope double, laplacian double, e1 double, e3 double", (h, h, h))
+
+
+def centres(vol: DataFrame, small: float, large: float, least: float, truncate: float = 4.0) -> DataFrame:
+    """(img, z, y, x, response, raw) of blobs' centres: cells whose difference of Gaussians is over `least` and over that of all 26
+    neighbours. Found within the blocks of one shuffle; only centres come out of it."""
+    wide, narrow = gaussian_weights(large, truncate), gaussian_weights(small, truncate)
+    h, less = len(wide) // 2 + 1, len(wide) // 2 - len(narrow) // 2
+    steps = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) != (0, 0, 0)]
+
+    def work(a: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        r = _separable(a["v"][tuple(slice(less, n - less) for n in a["v"].shape)], [narrow] * 3) - _separable(a["v"], [wide] * 3)
+        inside = shifted(a["inside"], (0, 0, 0), (h - 1, h - 1, h - 1))
+        r = np.where(inside, np.round(r, 9), -np.inf)
+        here = shifted(r, (0, 0, 0), (1, 1, 1))
+        top = np.maximum.reduce([shifted(r, o, (1, 1, 1)) for o in steps])
+        return {"response": here, "raw": shifted(a["v"], (0, 0, 0), (h, h, h)), "top": (here > top) & (here > least)}
+
+    return map_blocks(vol.select(*CELL, "v"), work, "response double, raw double, top boolean", (h, h, h)).where("top").drop("top")

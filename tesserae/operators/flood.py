@@ -28,7 +28,7 @@ def _rounds(cells: DataFrame, rule, columns: str, fill: dict[str, float], block:
     """rule(arrays) changes their cores in place and says whether it did; repeated within blocks, then over blocks, to rest."""
 
     def work(a: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        a = {k: v.copy() for k, v in a.items()}
+        a = {k: v.copy() for k, v in a.items() if k != "inside"}
         changed = False
         while rule(a):
             changed = True

@@ -29,7 +29,7 @@ def regional_maxima(vol: DataFrame, connectivity: int = 6) -> DataFrame:
         around = [shifted(np.where(a["inside"], a["v"], -np.inf), tuple(s * x for x in o), (1, 1, 1)) for o in steps for s in (1, -1)]
         return {"v": v, "low": np.maximum.reduce(around) > v}
 
-    cells = map_blocks(vol.selectExpr(*CELL, "v", "true as inside"), beaten, "v double, low boolean", (1, 1, 1), "constant")
+    cells = map_blocks(vol.select(*CELL, "v"), beaten, "v double, low boolean", (1, 1, 1), "constant")
     plateaus = label_components(cells.withColumn("m", F.lit(True)), connectivity, by="v")
     low = plateaus.where("low").select("img", "label").distinct()
     return plateaus.join(low, ["img", "label"], "left_anti").select(*CELL, "v")

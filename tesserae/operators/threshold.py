@@ -39,8 +39,8 @@ def otsu(vol: DataFrame, bins: int = 64) -> DataFrame:
 
 
 def percentile(vol: DataFrame, share: float) -> DataFrame:
-    """(img, threshold): linear between the two nearest ranks."""
-    return vol.groupBy("img").agg(F.percentile("v", F.lit(share)).alias("threshold"))
+    """(img, threshold): linear between the two nearest ranks. Values are counted first, so only different ones are moved."""
+    return vol.groupBy("img", "v").agg(F.count("*").alias("n")).groupBy("img").agg(F.percentile("v", F.lit(share), F.col("n")).alias("threshold"))
 
 
 def above(vol: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -111,7 +111,8 @@ def robust(vol: DataFrame, k: float) -> DataFrame:
 
 def low_contrast(vol: DataFrame, fraction: float, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """(img, flat): whether the span of the percentiles is at most that fraction of the whole span; an image of one value is flat."""
-    s = vol.groupBy("img").agg(F.percentile("v", F.lit(low)).alias("p"), F.percentile("v", F.lit(high)).alias("q"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    counts = vol.groupBy("img", "v").agg(F.count("*").alias("n"))
+    s = counts.groupBy("img").agg(F.percentile("v", F.lit(low), F.col("n")).alias("p"), F.percentile("v", F.lit(high), F.col("n")).alias("q"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     return s.select("img", (F.col("q") - F.col("p") <= fraction * (F.col("hi") - F.col("lo"))).alias("flat"))
 
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import assign, distance, filters, flood, graph, measures, objects, rows, segment, stencil, threshold, track
+from ..operators import assign, distance, filters, flood, graph, measures, objects, planes, rows, stencil, threshold, track
 from ..operators.blocks import ball, box, cross
 from ..sources import arrays
 from ..sources import lattice as lat
 from ..sources.shared import shared_dir
 from ..streaming import tallies
-from .registry import _CAND, _FACES, _HIST, CELL, DET, LAB, VOL, _mask, _masked, query
+from .registry import _CAND, _FACES, _HIST, CELL, CH, DET, LAB, VOL, _mask, _masked, query
 
 N = dict(zip("zyx", (lat.NZ, lat.NY, lat.NX), strict=True))
 SHAPE = (lat.NZ, lat.NY, lat.NX)
@@ -176,7 +178,7 @@ SELECT img, round(arg_max(low, {{'s': score, 'i': -i, 'j': -j}}), 6) AS low, rou
 )
 query("minimum_threshold", None, lambda s, d: threshold.minimum(lat.volume(s, d)).select("img", F.round("threshold", 6).alias("threshold")))
 query("threshold_levels", f"WITH {VOL} SELECT {AT}, CASE WHEN v > 400 THEN 255 ELSE 10 END AS v FROM vol", lambda s, d: lat.volume(s, d).select(*CELL, F.when(F.col("v") > 400, 255).otherwise(10).alias("v")))
-query("select_min_max", f"WITH {VOL.replace('vol AS', 'vol AS')}, sh AS (SELECT img, z, y, x, v, coalesce(lead(v) OVER (PARTITION BY img, z, y ORDER BY x), v) AS w FROM vol) SELECT {AT}, least(v, w) AS lo, greatest(v, w) AS hi FROM sh", lambda s, d: lat.volume(s, d).withColumn("w", stencil.clamped("x", 1)).select(*CELL, F.least("v", "w").alias("lo"), F.greatest("v", "w").alias("hi")))
+query("select_min_max", f"WITH {VOL}, sh AS (SELECT img, z, y, x, v, coalesce(lead(v) OVER (PARTITION BY img, z, y ORDER BY x), v) AS w FROM vol) SELECT {AT}, least(v, w) AS lo, greatest(v, w) AS hi FROM sh", lambda s, d: lat.volume(s, d).withColumn("w", stencil.clamped("x", 1)).select(*CELL, F.least("v", "w").alias("lo"), F.greatest("v", "w").alias("hi")))
 # ---- components, distances, floods --------------------------------------------------------------------------------
 _LINKED = lambda most: f"abs(p.z - q.z) <= 1 AND abs(p.y - q.y) <= 1 AND abs(p.x - q.x) <= 1 AND abs(p.z - q.z) + abs(p.y - q.y) + abs(p.x - q.x) BETWEEN 1 AND {most}"
 for _n, _most in ((18, 2), (26, 3)):
@@ -394,6 +396,66 @@ query("npy_planes", f"WITH {VOL} SELECT {AT}, v FROM vol WHERE z BETWEEN 2 AND 5
 # ---- streams ------------------------------------------------------------------------------------------------------
 query(
     "event_tallies",
-    "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, event_type AS kind, count(*) AS n, round(sum(round(value, 2)), 2) AS total, max(value) AS largest FROM events GROUP BY ALL",
-    lambda s, d: tallies.tally(s, f"{d}/events.parquet", "event_id long, ts timestamp, user_id long, event_type string, value double, props string").withColumn("total", F.round("total", 2)),
+    "SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type AS kind, count(*) AS n, round(sum(round(value, 2)), 2) AS total, max(value) AS largest FROM events GROUP BY ALL",
+    lambda s, d: tallies.tally(s, f"{d}/events.parque[t]", lat.table(s, d, "events").schema).withColumns({"total": F.round("total", 2), "start": F.date_format("start", "yyyy-MM-dd HH:mm")}),
+)
+# ---- planes, shapes, centres --------------------------------------------------------------------------------------
+_LEVELS = "pl AS (SELECT img, z, quantile_cont(v, 0.05) AS lo, quantile_cont(v, 0.95) AS hi FROM vol GROUP BY ALL), sm AS (SELECT img, z, avg(lo) OVER w AS lo, avg(hi) OVER w AS hi FROM pl WINDOW w AS (PARTITION BY img ORDER BY z RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)), tg AS (SELECT *, avg(lo) OVER (PARTITION BY img) AS tl, avg(hi) OVER (PARTITION BY img) AS th FROM sm)"
+query("slice_normalise", f"WITH {VOL}, {_LEVELS} SELECT {AT}, round(CASE WHEN v = 0 THEN 0 WHEN hi > lo THEN tl + (v - lo) * (th - tl) / (hi - lo) ELSE v END, 6) AS v FROM vol JOIN tg USING (img, z)", lambda s, d: rounded(planes.normalise_planes(lat.volume(s, d)), "v"))
+query("destripe", f"WITH {VOL} SELECT {AT}, round(v - avg(v) OVER (PARTITION BY img, z, y) + avg(v) OVER (PARTITION BY img, z), 6) AS v FROM vol", lambda s, d: rounded(planes.destripe(lat.volume(s, d)), "v"))
+query(
+    "shift_planes",
+    f"WITH {VOL} SELECT p.img, p.z, p.y, p.x, coalesce(q.v, 0) AS v FROM vol p LEFT JOIN vol q ON q.img = p.img AND q.z = p.z AND q.y = p.y - (p.z % 3 - 1) AND q.x = p.x - p.z % 2",
+    lambda s, d: (lambda v: planes.shift_planes(v, v.select("img", "z").distinct().select("img", "z", (F.col("z") % 3 - 1).alias("dy"), (F.col("z") % 2).alias("dx"))))(lat.volume(s, d)),
+)
+query("resample", f"WITH {VOL} SELECT img, z, i::INT AS y, j::INT AS x, v FROM vol, unnest(range(24)) AS a(i), unnest(range(24)) AS b(j) WHERE y = i * 2 // 3 AND x = j * 2 // 3", lambda s, d: planes.resample(lat.volume(s, d), 3, 2))
+query(
+    "match_histogram",
+    f"""WITH {CH}, ca AS (SELECT DISTINCT img, a, round(cume_dist() OVER (PARTITION BY img ORDER BY a), 12) AS s FROM ch), cb AS (SELECT DISTINCT img, b, round(cume_dist() OVER (PARTITION BY img ORDER BY b), 12) AS s FROM ch)
+SELECT {AT}, m.v AS v FROM ch JOIN (SELECT ca.img, ca.a, min(cb.b)::DOUBLE AS v FROM ca JOIN cb ON cb.img = ca.img AND cb.s >= ca.s GROUP BY ALL) m ON m.img = ch.img AND m.a = ch.a""".replace(f"SELECT {AT}, m.v", "SELECT ch.img, ch.z, ch.y, ch.x, m.v"),
+    lambda s, d: (lambda c: planes.match_histogram(c.select(*CELL, F.col("a").alias("v")), c.select(*CELL, F.col("b").cast("double").alias("v"))))(lat.channels(s, d)),
+)
+_DOTS = [f"max(y * {math.sin(math.pi * i / 8)!r} + x * {math.cos(math.pi * i / 8)!r}) - min(y * {math.sin(math.pi * i / 8)!r} + x * {math.cos(math.pi * i / 8)!r})" for i in range(8)]
+query("feret", f"WITH {LAB} SELECT img, a AS label, round(greatest({', '.join(_DOTS)}), 6) AS longest, round(least({', '.join(_DOTS)}), 6) AS shortest FROM lab WHERE a <> 0 GROUP BY ALL", lambda s, d: planes.feret(_labels(s, d), 8).select("img", "label", F.round("longest", 6).alias("longest"), F.round("shortest", 6).alias("shortest")))
+query("label_gaps", f"WITH {_masked(0.97)}, {_SOURCES} SELECT p.img, p.label AS a, q.label AS b, min((p.z - q.z) * (p.z - q.z) + (p.y - q.y) * (p.y - q.y) + (p.x - q.x) * (p.x - q.x))::INT AS d2 FROM lb p JOIN lb q ON q.img = p.img AND p.label <> 0 AND p.label < q.label GROUP BY ALL HAVING min((p.z - q.z) * (p.z - q.z) + (p.y - q.y) * (p.y - q.y) + (p.x - q.x) * (p.x - q.x)) <= 9", lambda s, d: planes.gaps(_sparse(s, d), 3.0))
+query("child_count", f"WITH {LAB}, j AS (SELECT img, a, b, count(*) AS n FROM lab WHERE a <> 0 AND b <> 0 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY img, a ORDER BY n DESC, b) AS r FROM j) SELECT img, b, count(*) AS n, sum(n)::BIGINT AS cells FROM r WHERE r = 1 GROUP BY img, b", lambda s, d: planes.children(graph.overlap_assign(lat.labels(s, d))))
+query(
+    "region_counts",
+    f"""WITH {LAB}, {DET}, {_PT}, o AS (SELECT a AS nation, count(*) AS n FROM pt JOIN lab USING ({AT}) WHERE a <> 0 GROUP BY a), t AS (SELECT n_nationkey + 1 AS id, n_name AS name, n_regionkey AS r FROM nation)
+SELECT id, name, sum(n)::BIGINT AS n FROM (SELECT id, name, n FROM o JOIN t ON id = nation UNION ALL SELECT 1000 + r_regionkey, r_name, n FROM o JOIN t ON t.id = nation JOIN region ON r_regionkey = r) GROUP BY ALL""",
+    lambda s, d: planes.region_counts(_points(s, d), _labels(s, d), _tree(s, d)),
+)
+
+
+def _tree(s: SparkSession, d: str) -> DataFrame:
+    """Nations as regions of an atlas, with their region above them."""
+    nation, region = lat.table(s, d, "nation"), lat.table(s, d, "region")
+    leaf, top = (F.col("n_nationkey") + 1).cast("long"), (F.col("n_regionkey") + 1000).cast("long")
+    root = (F.col("r_regionkey") + 1000).cast("long")
+    return nation.select(leaf.alias("id"), F.col("n_name").alias("name"), F.array(leaf, top).alias("path")).union(region.select(root.alias("id"), "r_name", F.array(root).alias("path")))
+
+
+query(
+    "rank_weighted_colocalization",
+    f"""WITH {CH}, r AS (SELECT *, dense_rank() OVER (PARTITION BY img ORDER BY a) AS ra, dense_rank() OVER (PARTITION BY img ORDER BY b) AS rb FROM ch), w AS (SELECT *, 1 - abs(ra - rb) / greatest(max(ra) OVER (PARTITION BY img), max(rb) OVER (PARTITION BY img)) AS w FROM r)
+SELECT img, round(sum(CASE WHEN a > 0 AND b > 0 THEN a * w ELSE 0 END) / sum(CASE WHEN a > 0 THEN a ELSE 0 END), 6) AS rwc_a, round(sum(CASE WHEN a > 0 AND b > 0 THEN b * w ELSE 0 END) / sum(CASE WHEN b > 0 THEN b ELSE 0 END), 6) AS rwc_b FROM w GROUP BY img""",
+    lambda s, d: planes.rank_weighted(lat.channels(s, d)).select("img", F.round("rwc_a", 6).alias("rwc_a"), F.round("rwc_b", 6).alias("rwc_b")),
+)
+query(
+    "object_radius",
+    f"WITH {LAB}, fg AS (SELECT img, z, y, x, a, b >= 8 AS m FROM lab), e AS (SELECT p.img, p.a AS label, sqrt(min(pow(p.z - q.z, 2) + pow(p.y - q.y, 2) + pow(p.x - q.x, 2))) AS d FROM fg p JOIN fg q ON q.img = p.img AND p.m AND NOT q.m AND p.a <> 0 GROUP BY p.img, p.a, p.z, p.y, p.x) SELECT img, label, round(max(d), 6) AS radius FROM e GROUP BY ALL",
+    lambda s, d: (lambda c: c.join(distance.distance_transform(c.select(*CELL, (F.col("b") >= 8).alias("m"))), CELL).where("v > 0 and label != 0").groupBy("img", "label").agg(F.round(F.max("v"), 6).alias("radius")))(_labels(s, d).drop("v")),
+)
+_DOG = f"{one('g1', 'vol', G1, 'clamp', 'sum(w0 * nv)')}, {one('g2', 'vol', G15, 'clamp', 'sum(w0 * nv)')}, dg AS (SELECT {AT}, round(g1.v - g2.v, 9) AS v FROM g1 JOIN g2 USING ({AT}))"
+query(
+    "blob_centres",
+    f"WITH {VOL}, {_DOG}, t AS (SELECT {AT}, any_value(v) AS v, max(nv) AS top FROM {near('dg', [o for o in box(1) if any(o)], 'inside')} GROUP BY {AT}) SELECT {AT}, round(t.v, 6) AS response, vol.v AS raw FROM t JOIN vol USING ({AT}) WHERE t.v > top AND t.v > 2",
+    lambda s, d: filters.centres(lat.volume(s, d), 1.0, 1.5, 2.0, 2.0).select(*CELL, F.round("response", 6).alias("response"), "raw"),
+)
+_SLOPE = {o: tuple(composed(G1, {tuple(t if i == k else 0 for i in range(3)): t / 2 for t in (1, -1)}).get(o, 0.0) for k in range(3)) for o in H_ALL}
+_STACK = {o: (G1.get(o, 0.0), *_SLOPE[o], -LAPLACE[o]) for o in H_ALL}
+query(
+    "feature_stack",
+    f"WITH {VOL} SELECT {AT}, any_value(v) AS v, round(sum(w0 * nv), 5) AS smooth, round(sqrt(pow(sum(w1 * nv), 2) + pow(sum(w2 * nv), 2) + pow(sum(w3 * nv), 2)), 5) AS slope, round(sum(w4 * nv), 5) AS laplacian FROM {near('vol', _STACK)} GROUP BY {AT}",
+    lambda s, d: filters.feature_stack(lat.volume(s, d), 1.0, 2.0).select(*CELL, "v", *[F.round(c, 5).alias(c) for c in ("smooth", "slope", "laplacian")]),
 )

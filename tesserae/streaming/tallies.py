@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.shared import shared_dir
 
@@ -18,7 +19,7 @@ def windowed(events: DataFrame, length: str = "6 hours", lateness: str = "1 day"
     return out.select(F.col("w.start").alias("start"), "kind", "n", "total", "largest")
 
 
-def tally(spark: SparkSession, path: str, schema: str, **options: str) -> DataFrame:
+def tally(spark: SparkSession, path: str, schema: T.StructType, **options: str) -> DataFrame:
     """All windows of the files at `path`, read as a stream to its end; state and offsets stand in the shared folder."""
     base = shared_dir(spark)
     stream = spark.readStream.schema(schema).parquet(path)
