@@ -396,8 +396,8 @@ query("npy_planes", f"WITH {VOL} SELECT {AT}, v FROM vol WHERE z BETWEEN 2 AND 5
 # ---- streams ------------------------------------------------------------------------------------------------------
 query(
     "event_tallies",
-    "SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type AS kind, count(*) AS n, round(sum(round(value, 2)), 2) AS total, max(value) AS largest FROM events GROUP BY ALL",
-    lambda s, d: tallies.tally(s, f"{d}/events.parque[t]", lat.table(s, d, "events").schema).withColumns({"total": F.round("total", 2), "start": F.date_format("start", "yyyy-MM-dd HH:mm")}),
+    "SELECT epoch(time_bucket(INTERVAL 6 HOUR, ts))::BIGINT AS start, event_type AS kind, count(*) AS n, round(sum(round(value, 2)), 2) AS total, max(value) AS largest FROM events GROUP BY ALL",
+    lambda s, d: tallies.tally(s, f"{d}/events.parque[t]", lat.table(s, d, "events").schema).withColumns({"total": F.round("total", 2), "start": F.unix_seconds("start")}),
 )
 # ---- planes, shapes, centres --------------------------------------------------------------------------------------
 _LEVELS = "pl AS (SELECT img, z, quantile_cont(v, 0.05) AS lo, quantile_cont(v, 0.95) AS hi FROM vol GROUP BY ALL), sm AS (SELECT img, z, avg(lo) OVER w AS lo, avg(hi) OVER w AS hi FROM pl WINDOW w AS (PARTITION BY img ORDER BY z RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)), tg AS (SELECT *, avg(lo) OVER (PARTITION BY img) AS tl, avg(hi) OVER (PARTITION BY img) AS th FROM sm)"

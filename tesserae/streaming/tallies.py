@@ -23,6 +23,9 @@ def tally(spark: SparkSession, path: str, schema: T.StructType, **options: str)
     """All windows of the files at `path`, read as a stream to its end; state and offsets stand in the shared folder."""
     base = shared_dir(spark)
     stream = spark.readStream.schema(schema).parquet(path)
+    for f in schema.fields:  # watermarks are of instants; times without a zone are taken for UTC
+        if isinstance(f.dataType, T.TimestampNTZType):
+            stream = stream.withColumn(f.name, F.expr(f"timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{f.name}`))"))
     # the table is complete after each batch, so the last batch's is the result
     write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{base}/out")
     done = windowed(stream, **options).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
