@@ -15,7 +15,15 @@ def test_stages_keep_the_columns_and_what_they_should(spark, duck):
     kept = {r.doc_id for r in cp.quality(spark, docs, SF).collect()}
     assert len(bad & kept) <= 0.1 * len(bad)
     lines = {r.doc_id: r for r in cp.lines(spark, docs, SF).collect()}
-    assert all(r.n_chars == len(r.text) for r in lines.values()) and len(lines) == docs.count()
+    assert all(r.n_chars == len(r.text) for r in lines.values())
+    had = {r.doc_id: (r.text or "") for r in docs.collect()}
+    assert all(had[d].strip() for d in had.keys() - lines.keys()) and all(r.text.strip() for d, r in lines.items() if had[d].strip())
+
+
+def test_lines_stage_drops_what_it_empties(spark):
+    rows = [(1, "a line of some length\nanother line of some length"), (2, "Another line of some length\n a line of some length "), (3, ""), (4, None), (5, "a line of some length\nand more")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r.doc_id, r.text) for r in cp.lines(spark, docs, SF).collect()) == [(1, rows[0][1]), (3, ""), (4, ""), (5, "and more")]
 
 
 def test_near_stage_keeps_one_of_each_group(spark):
