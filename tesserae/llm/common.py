@@ -15,7 +15,7 @@ from ..sources.shared import shared_dir, stored  # noqa: F401
 #: A null id takes part as the smallest long.
 NULL_ID = -(2**63)
 #: Bytes of text that a task works on at a time; one longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def id_key(name: str) -> Column:
