@@ -160,3 +160,27 @@ def boundary_f1(labels: DataFrame, tolerance: int) -> DataFrame:
     both = hits(sides["b"], sides["a"], "precision").join(hits(sides["a"], sides["b"], "recall"), "img", "full").na.fill(0.0, ["precision", "recall"])
     total = F.col("precision") + F.col("recall")
     return both.select("img", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round(F.when(total > 0, 2 * F.col("precision") * F.col("recall") / total).otherwise(0.0), 6).alias("f1"))
+
+
+def lineages(d: DataFrame, links: DataFrame, splits: DataFrame) -> DataFrame:
+    """(lineage_id, n_detections, n_divisions, t_start, t_end): what links and divisions (parent, second) hold together; its id is
+    its least detection's."""
+    edges = links.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).union(splits.select("parent", "second"))
+    found = linked_components(edges)
+    at = d.join(found, "id", "left").withColumn("lineage_id", F.coalesce("component", "id"))
+    at = at.join(splits.select(F.col("parent").alias("id"), F.lit(1).alias("divides")).distinct(), "id", "left")
+    return at.groupBy("lineage_id").agg(F.count("*").alias("n_detections"), F.count("divides").alias("n_divisions"), F.min("t").alias("t_start"), F.max("t").alias("t_end"))
+
+
+def overlapping_boxes(d: DataFrame, least: float, most: float) -> DataFrame:
+    """(id, other): boxes of one frame (half sides `half`, at most `most`) whose intersection over union is `least` at least, the
+    other with the larger score, or the same and the smaller id. Boxes meet in buckets of twice the largest half side."""
+    gate = 2 * most
+    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    wide = bucketed(d, gate).withColumn("ey", F.explode(near)).withColumn("ex", F.explode(near)).withColumn("by", F.col("by") + F.col("ey")).withColumn("bx", F.col("bx") + F.col("ex"))
+    other = bucketed(d, gate).select("t", "by", "bx", *[F.col(c).alias(f"{c}2") for c in ("id", "y", "x", "half", "score")])
+    side = lambda a: F.greatest(F.least(F.col(a) + F.col("half"), F.col(f"{a}2") + F.col("half2")) - F.greatest(F.col(a) - F.col("half"), F.col(f"{a}2") - F.col("half2")), F.lit(0.0))
+    shared = side("y") * side("x")
+    pair = wide.join(other, ["t", "by", "bx"]).withColumn("shared", shared).where("shared > 0")
+    iou = F.col("shared") / (4 * F.col("half") * F.col("half") + 4 * F.col("half2") * F.col("half2") - F.col("shared"))
+    return pair.where((iou >= least) & F.expr("score2 > score or (score2 = score and id2 < id)")).select("id", F.col("id2").alias("other"))

@@ -302,3 +302,17 @@ def centres(vol: DataFrame, small: float, large: float, least: float, truncate:
         return {"response": here, "raw": shifted(a["v"], (0, 0, 0), (h, h, h)), "top": (here > top) & (here > least)}
 
     return map_blocks(vol.select(*CELL, "v"), work, "response double, raw double, top boolean", (h, h, h)).where("top").drop("top")
+
+
+def rolling_ball(vol: DataFrame, heights: dict[tuple[int, int, int], float]) -> DataFrame:
+    """The envelope that a ball of the given heights below v can reach: the least of v - height over the element, then the largest
+    of that + height. Cells beyond the edge don't count. One shuffle for both passes."""
+    halo = reach(list(heights))
+
+    def work(a: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        v, inside = np.where(a["inside"], a["v"], np.inf), shifted(a["inside"], (0, 0, 0), halo)
+        low = np.minimum.reduce([shifted(v, o, halo) - h for o, h in heights.items()])
+        low = np.where(inside, low, -np.inf)
+        return {"v": np.maximum.reduce([shifted(low, o, halo) + h for o, h in heights.items()])}
+
+    return map_blocks(vol.select(*CELL, "v"), work, "v double", tuple(2 * h for h in halo), "constant")

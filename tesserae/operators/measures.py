@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,3 +143,64 @@ def hu_moments(cells: DataFrame) -> DataFrame:
     sums = cells.where("label != 0").groupBy("img", "z", "label").agg(*[F.sum(power(p, q)).alias(f"s{p}{q}") for p, q in RAW])
     norm = sums.select("img", "z", "label", *[F.expr(e).alias(n) for n, e in flat_moments().items()])
     return norm.select("img", "z", "label", *[F.expr(e).alias(n) for n, e in HU.items()])
+
+
+def custom(cells: DataFrame, measure: Callable[[dict[str, np.ndarray]], dict[str, float]], columns: str) -> DataFrame:
+    """(img, label) and `columns` (a schema), which `measure` makes of an object's cells as arrays, one for each of cells' other
+    columns. For what no aggregate expresses; an object is what one task holds."""
+    kinds = {c.split()[0]: {"double": pa.float64(), "long": pa.int64()}[c.split()[1]] for c in columns.split(", ")}
+
+    def one(key: tuple, table: pa.Table) -> pa.Table:
+        made = measure({c: np.asarray(table.column(c)) for c in table.column_names if c not in ("img", "label")})
+        return pa.table({"img": pa.array([key[0].as_py()], pa.int32()), "label": pa.array([key[1].as_py()], pa.int64()), **{c: pa.array([made[c]], k) for c, k in kinds.items()}})
+
+    return cells.where("label != 0").groupBy("img", "label").applyInArrow(one, f"img int, label long, {columns}")
+
+
+def histograms(cells: DataFrame, width: float) -> DataFrame:
+    """(img, label, bin, n): an object's cells by value in bins of that width, those that have any."""
+    return cells.where("label != 0").groupBy("img", "label", F.floor(F.col("v") / width).alias("bin")).agg(F.count("*").alias("n"))
+
+
+def relabelled(labels: DataFrame) -> DataFrame:
+    """Labels numbered 1, 2, ... in each image in their order, 0 as it was. The labels are numbered, not the cells."""
+    own = labels.where("label != 0").select("img", "label").distinct().withColumn("new", F.row_number().over(Window.partitionBy("img").orderBy("label")).cast("long"))
+    return labels.join(own, ["img", "label"], "left").select(*CELL, F.coalesce("new", F.lit(0)).alias("label"))
+
+
+def principal_axes(vectors: DataFrame, column: str, n: int) -> DataFrame:
+    """vectors with `scores`, their places on the n axes of largest variance. Tasks send sums of a vector's products, so the driver
+    gets one matrix of the vectors' length squared. An axis points where its largest component is positive. Null vectors have null scores."""
+    size = vectors.where(F.col(column).isNotNull()).select(F.size(column).alias("n")).limit(1).collect()
+    if not size:
+        return vectors.withColumn("scores", F.lit(None).cast("array<double>"))
+    d = size[0].n
+
+    def table(column: pa.Array) -> np.ndarray:
+        return np.asarray(column.flatten(), float).reshape(-1, d)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((d + 1, d + 1))
+        for batch in batches:
+            x = table(batch.column(0))
+            x = np.hstack([x, np.ones((len(x), 1))])
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["i", "s"])
+
+    whole = vectors.where(F.col(column).isNotNull()).select(column).mapInArrow(sums, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).orderBy("i").toArrow()
+    whole = np.asarray(whole.column("s")).reshape(d + 1, d + 1)
+    mean = whole[:d, d] / whole[d, d]
+    _, axes_ = np.linalg.eigh(whole[:d, :d] / whole[d, d] - np.outer(mean, mean))
+    axes_ = axes_[:, ::-1][:, :n]
+    axes_ = axes_ * np.sign(axes_[np.abs(axes_).argmax(axis=0), np.arange(axes_.shape[1])])
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index(column))
+            made = np.full((len(lists), axes_.shape[1]), np.nan)
+            known = np.asarray(lists.is_valid())
+            made[known] = (table(lists.filter(pa.array(known))) - mean) @ axes_
+            scores = pa.array([r.tolist() if k else None for r, k in zip(made, known, strict=True)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "scores"])
+
+    return vectors.mapInArrow(project, vectors.withColumn("scores", F.lit(None).cast("array<double>")).schema)

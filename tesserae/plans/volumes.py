@@ -459,3 +459,29 @@ query(
     f"WITH {VOL} SELECT {AT}, any_value(v) AS v, round(sum(w0 * nv), 5) AS smooth, round(sqrt(pow(sum(w1 * nv), 2) + pow(sum(w2 * nv), 2) + pow(sum(w3 * nv), 2)), 5) AS slope, round(sum(w4 * nv), 5) AS laplacian FROM {near('vol', _STACK)} GROUP BY {AT}",
     lambda s, d: filters.feature_stack(lat.volume(s, d), 1.0, 2.0).select(*CELL, "v", *[F.round(c, 5).alias(c) for c in ("smooth", "slope", "laplacian")]),
 )
+_HEIGHTS = {o: float(20 * (2 - sum(map(abs, o)))) for o in ball(1)}
+query("rolling_ball", f"WITH {VOL}, {one('e', 'vol', _HEIGHTS, 'inside', 'min(nv - w0)')}, {one('g', 'e', _HEIGHTS, 'inside', 'max(nv + w0)')} SELECT * FROM g", lambda s, d: filters.rolling_ball(lat.volume(s, d), _HEIGHTS))
+query(
+    "custom_measure",
+    f"WITH {LAB} SELECT img, a AS label, round(sum(v * z) / sum(v), 6) AS wz, round(sum(v * x) / sum(v), 6) AS wx FROM lab WHERE a <> 0 GROUP BY ALL",
+    lambda s, d: measures.custom(_labels(s, d).select(*CELL, "label", "v"), lambda c: {"wz": (c["v"] * c["z"]).sum() / c["v"].sum(), "wx": (c["v"] * c["x"]).sum() / c["v"].sum()}, "wz double, wx double").withColumns({c: F.round(c, 6) for c in ("wz", "wx")}),
+)
+query("object_histograms", f"WITH {LAB} SELECT img, a AS label, floor(v / 100.0)::BIGINT AS bin, count(*) AS n FROM lab WHERE a <> 0 GROUP BY ALL", lambda s, d: measures.histograms(_labels(s, d), 100.0))
+query("relabel_dense", f"WITH {LAB}, k AS (SELECT img, a, row_number() OVER (PARTITION BY img ORDER BY a) AS label FROM (SELECT DISTINCT img, a FROM lab WHERE a <> 0)) SELECT lab.img, z, y, x, coalesce(label, 0) AS label FROM lab LEFT JOIN k ON k.img = lab.img AND k.a = lab.a", lambda s, d: measures.relabelled(_labels(s, d)))
+query("principal_axes", None, lambda s, d: measures.principal_axes(lat.table(s, d, "embeddings"), "embedding", 2).select("vec_id", *[F.round(F.element_at("scores", i + 1), 4).alias(f"s{i}") for i in range(2)]))
+query(
+    "lineages",
+    f"""WITH RECURSIVE {DET}, {_CAND}, {_MUTUAL}, f AS (SELECT c.from_id, c.to_id, d2 + rel_size AS cost FROM cand c JOIN mu ON mu.from_id = c.from_id WHERE c.to_id NOT IN (SELECT to_id FROM mu) AND d2 <= 1600),
+r1 AS (SELECT *, row_number() OVER (PARTITION BY to_id ORDER BY cost, from_id, to_id) AS r FROM f), q AS (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY cost, from_id, to_id) AS s FROM r1 WHERE r = 1), sp AS (SELECT from_id, to_id FROM q WHERE s = 1),
+e AS (SELECT from_id AS a, to_id AS b FROM mu UNION ALL SELECT to_id, from_id FROM mu UNION ALL SELECT from_id, to_id FROM sp UNION ALL SELECT to_id, from_id FROM sp),
+k(id, c) AS (SELECT id, id FROM det UNION SELECT e.b, k.c FROM k JOIN e ON e.a = k.id AND k.c < e.b), m AS (SELECT id, min(c) AS c FROM k GROUP BY id)
+SELECT c AS lineage_id, count(*) AS n_detections, count(sp.from_id) AS n_divisions, min(t) AS t_start, max(t) AS t_end FROM m JOIN det ON det.id = m.id LEFT JOIN sp ON sp.from_id = m.id GROUP BY c""",
+    lambda s, d: (lambda e: (lambda c: (lambda m: assign.lineages(e, m, assign.divisions(c, m, 40.0)))(track.mutual_links(c)))(track.candidates(e, 60.0)))(lat.detections(s, d)),
+)
+_boxes = lambda s, d: lat.detections(s, d).select("id", "t", "y", "x", (10 + F.col("id") % 20).alias("half"), F.col("size").alias("score"))
+query(
+    "box_overlaps",
+    f"WITH {DET}, b AS (SELECT id, t, y, x, 10 + id % 20 AS half, size AS score FROM det), p AS (SELECT p.id, q.id AS other, p.half AS h, q.half AS g, greatest(least(p.y + p.half, q.y + q.half) - greatest(p.y - p.half, q.y - q.half), 0) * greatest(least(p.x + p.half, q.x + q.half) - greatest(p.x - p.half, q.x - q.half), 0) AS s FROM b p JOIN b q ON p.t = q.t AND (q.score > p.score OR (q.score = p.score AND q.id < p.id))) SELECT id, other FROM p WHERE s > 0 AND s / (4 * h * h + 4 * g * g - s) >= 0.1",
+    lambda s, d: assign.overlapping_boxes(_boxes(s, d), 0.1, 30.0),
+)
+query("box_nms", None, lambda s, d: (lambda b: b.join(track.taken_away(assign.overlapping_boxes(b, 0.1, 30.0)), "id", "left_anti"))(_boxes(s, d)))

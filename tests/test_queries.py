@@ -4,7 +4,7 @@ from conftest import SF, rows
 from tesserae.plans import registry
 
 #: What SQL doesn't say; test_volumes.py holds these against brute force.
-NO_SQL = {"assigned_links", "deconvolve", "minimum_threshold", "watershed"}
+NO_SQL = {"assigned_links", "box_nms", "deconvolve", "minimum_threshold", "principal_axes", "watershed"}
 
 
 def test_all_other_queries_have_sql():

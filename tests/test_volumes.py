@@ -191,3 +191,30 @@ def test_late_rows_are_left_out_of_a_stream(spark, tmp_path):
         query.trigger(availableNow=True).start().awaitTermination()
     got = {str(r.start): r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"2024-01-01 00:00:00": 2, "2024-01-05 00:00:00": 1}
+
+
+def test_principal_axes_are_those_of_the_whole_matrix(spark):
+    from tesserae.operators.measures import principal_axes
+
+    x = np.random.default_rng(3).normal(size=(60, 5)) * [5, 1, 3, 0.5, 1]
+    rows = [(i, r.tolist()) for i, r in enumerate(x)] + [(60, None)]
+    got = {r.id: r.scores for r in principal_axes(spark.createDataFrame(rows, "id long, v array<double>").repartition(4), "v", 2).collect()}
+    _, axes = np.linalg.eigh(np.cov(x.T, bias=True))
+    axes = axes[:, ::-1][:, :2]
+    axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), [0, 1]])
+    assert np.allclose([got[i] for i in range(60)], (x - x.mean(axis=0)) @ axes) and got[60] is None
+
+
+def test_boxes_are_kept_by_falling_score(spark):
+    from tesserae.operators import track
+
+    random.seed(2)
+    rows = [(i, i % 2, random.uniform(0, 99), random.uniform(0, 99), random.randint(3, 12), float(random.randint(1, 5))) for i in range(120)]
+    area = lambda a, b: max(min(a[2] + a[4], b[2] + b[4]) - max(a[2] - a[4], b[2] - b[4]), 0) * max(min(a[3] + a[4], b[3] + b[4]) - max(a[3] - a[4], b[3] - b[4]), 0)
+    kept = []
+    for r in sorted(rows, key=lambda r: (-r[5], r[0])):
+        if all(k[1] != r[1] or area(k, r) < 0.2 * (4 * k[4] ** 2 + 4 * r[4] ** 2 - area(k, r)) or not area(k, r) for k in kept):
+            kept.append(r)
+    frame_ = spark.createDataFrame(rows, "id long, t int, y double, x double, half int, score double")
+    gone = {r.id for r in track.taken_away(assign.overlapping_boxes(frame_, 0.2, 12.0)).collect()}
+    assert {r[0] for r in rows} - gone == {r[0] for r in kept} and gone
