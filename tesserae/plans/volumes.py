@@ -443,9 +443,18 @@ SELECT img, round(sum(CASE WHEN a > 0 AND b > 0 THEN a * w ELSE 0 END) / sum(CAS
 )
 query(
     "object_radius",
-    f"WITH {LAB}, fg AS (SELECT img, z, y, x, a, b >= 8 AS m FROM lab), e AS (SELECT p.img, p.a AS label, sqrt(min(pow(p.z - q.z, 2) + pow(p.y - q.y, 2) + pow(p.x - q.x, 2))) AS d FROM fg p JOIN fg q ON q.img = p.img AND p.m AND NOT q.m AND p.a <> 0 GROUP BY p.img, p.a, p.z, p.y, p.x) SELECT img, label, round(max(d), 6) AS radius FROM e GROUP BY ALL",
-    lambda s, d: (lambda c: c.join(distance.distance_transform(c.select(*CELL, (F.col("b") >= 8).alias("m"))), CELL).where("v > 0 and label != 0").groupBy("img", "label").agg(F.round(F.max("v"), 6).alias("radius")))(_labels(s, d).drop("v")),
+    f"WITH {LAB}, th AS (SELECT img, quantile_cont(v, 0.1) AS t FROM lab GROUP BY img), fg AS (SELECT img, z, y, x, a, v > t AS m FROM lab JOIN th USING (img)), e AS (SELECT p.img, p.a AS label, sqrt(min(pow(p.z - q.z, 2) + pow(p.y - q.y, 2) + pow(p.x - q.x, 2))) AS d FROM fg p JOIN fg q ON q.img = p.img AND p.m AND NOT q.m AND p.a <> 0 GROUP BY p.img, p.a, p.z, p.y, p.x) SELECT img, label, round(max(d), 6) AS radius FROM e GROUP BY ALL",
+    lambda s, d: _radius(_labels(s, d)),
 )
+
+
+def _radius(cells: DataFrame) -> DataFrame:
+    """How deep each object's deepest cell lies in the foreground, the cells above the image's first decile."""
+    mask = threshold.above(cells, threshold.percentile(cells, 0.1))
+    depth = distance.distance_transform(mask).where("v > 0").withColumnRenamed("v", "depth")
+    return cells.join(depth, CELL).where("label != 0").groupBy("img", "label").agg(F.round(F.max("depth"), 6).alias("radius"))
+
+
 _DOG = f"{one('g1', 'vol', G1, 'clamp', 'sum(w0 * nv)')}, {one('g2', 'vol', G15, 'clamp', 'sum(w0 * nv)')}, dg AS (SELECT {AT}, round(g1.v - g2.v, 9) AS v FROM g1 JOIN g2 USING ({AT}))"
 query(
     "blob_centres",
