@@ -105,7 +105,7 @@ def ring_labels(labels: DataFrame, inner: float, outer: float) -> DataFrame:
 
 
 def close_labels(labels: DataFrame, distance: float) -> DataFrame:
-    """(img, a, b): labels a < b of which two cells lie within the distance (below it, as the reference has it: at most)."""
+    """(img, a, b): labels a < b of which two cells are at most the distance apart."""
     cells = labels.where("label != 0").select(*CELL, "label")
     steps = F.array(*[F.struct(*[F.lit(s).alias(f"d{a}") for s, a in zip(o, AXES, strict=True)]) for o in ball(distance) if o > (0, 0, 0)])
     moved = cells.select("img", F.col("label").alias("a"), F.explode(steps).alias("o"), *AXES).select("img", "a", *[(F.col(a) + F.col(f"o.d{a}")).alias(a) for a in AXES])
