@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import assay, graph, segment, stencil, threshold, track
 from ..sources import lattice as lat
+from ..sources.shared import stored
 from .registry import _CAND, _FACES, _HIST, _OTSU, CELL, CH, DET, LAB, VOL, _components, _mask, _masked, query
 
 _six = lambda c: F.round(c, 6).alias(c)
@@ -122,9 +123,8 @@ _BEST = "rk AS (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY d2 +
 
 
 def _scores(s: SparkSession, d: str) -> DataFrame:
-    found = track.candidates(lat.detections(s, d), 60.0)
-    nearest = found.groupBy("from_id").agg(F.min_by("to_id", F.struct("d2", "to_id")).alias("to_id"))
-    return track.link_scores(nearest, track.mutual_links(found))
+    det = lat.detections(s, d)
+    return track.link_scores(track.best_ends(det, 60.0, 0.0), track.mutual_best(det, 60.0))
 
 
 query(
@@ -138,7 +138,7 @@ query(
     "tracks",
     f"""WITH RECURSIVE {DET}, {_CAND}, {_BEST}, ma AS (SELECT from_id, to_id FROM rk WHERE i = 1 AND j = 1), w(root, id) AS (SELECT id, id FROM det WHERE id NOT IN (SELECT to_id FROM ma) UNION ALL SELECT root, to_id FROM w JOIN ma ON from_id = id)
 SELECT min(id) AS track_id, count(*) AS n_detections, min(t) AS t_start, max(t) AS t_end, arg_min(id, t) AS first_id, arg_max(id, t) AS last_id FROM w JOIN det USING (id) GROUP BY root""",
-    lambda s, d: (lambda det: track.tracks(det, track.mutual_links(track.candidates(det, 60.0))))(lat.detections(s, d)),
+    lambda s, d: (lambda det: track.tracks(det, stored(track.mutual_best(det, 60.0))))(lat.detections(s, d)),
 )
 _GREEDY = """gr AS (SELECT *, row_number() OVER (PARTITION BY from_t ORDER BY d2 + rel_size, from_id, to_id) AS i FROM cand),
 gw(from_t, i, f, o, hit) AS (SELECT from_t, 0::BIGINT, []::BIGINT[], []::BIGINT[], false FROM (SELECT DISTINCT from_t FROM gr) UNION ALL
@@ -148,13 +148,13 @@ gl AS (SELECT gr.* FROM gr JOIN gw USING (from_t, i) WHERE hit)"""
 query(
     "greedy_links",
     f"WITH RECURSIVE {DET}, {_CAND}, {_GREEDY} SELECT from_id, to_id, from_t, dt, d2 FROM gl",
-    lambda s, d: track.greedy_links(track.candidates(lat.detections(s, d), 60.0)).select("from_id", "to_id", "from_t", "dt", "d2"),
+    lambda s, d: track.greedy_best(lat.detections(s, d), 60.0).select("from_id", "to_id", "from_t", "dt", "d2"),
 )
 query(
     "greedy_tracks",
     f"""WITH RECURSIVE {DET}, {_CAND}, {_GREEDY}, w(root, id) AS (SELECT id, id FROM det WHERE id NOT IN (SELECT to_id FROM gl) UNION ALL SELECT root, to_id FROM w JOIN gl ON from_id = id)
 SELECT min(id) AS track_id, count(*) AS n_detections, min(t) AS t_start, max(t) AS t_end, arg_min(id, t) AS first_id, arg_max(id, t) AS last_id FROM w JOIN det USING (id) GROUP BY root""",
-    lambda s, d: (lambda det: track.tracks(det, track.greedy_links(track.candidates(det, 60.0))))(lat.detections(s, d)),
+    lambda s, d: (lambda det: track.tracks(det, track.greedy_best(det, 60.0)))(lat.detections(s, d)),
 )
 query(
     "suppressed_peaks",
