@@ -38,3 +38,30 @@ def test_no_query_on_links_makes_all_candidates(spark, monkeypatch, name):
 
     monkeypatch.setattr(track, "candidates", never)
     assert registry.queries()[name](spark, SF).limit(1).count() <= 1
+
+
+@pytest.mark.parametrize(("n", "wide", "whole"), [(400, 60.0, True), (400, 300.0, False), (60, 0.0, True)])
+def test_neighbours_crowding_and_peaks_are_those_of_all_pairs(spark, n, wide, whole):
+    d = _detections(spark, n, wide, whole, n)
+    rows = d.collect()
+    near = lambda p, q, g: None not in (p.y, q.y) and p.t == q.t and (p.y - q.y) ** 2 + (p.x - q.x) ** 2 <= g
+    d2 = lambda p, q: (p.y - q.y) ** 2 + (p.x - q.x) ** 2
+    want = [(p.id, i + 1, q.id, d2(p, q)) for p in rows for i, q in enumerate(sorted((q for q in rows if q.id != p.id and near(p, q, 400.0)), key=lambda q: (d2(p, q), q.id))[:3])]
+    assert sorted(tuple(r) for r in track.neighbours(d, 20.0, 3).collect()) == sorted(want)
+    assert sorted(tuple(r) for r in track.crowding(d, 20.0).collect()) == sorted((p.id, sum(q.id != p.id and near(p, q, 400.0) for q in rows)) for p in rows)
+    beats = lambda q, p: None not in (p.size, q.size) and near(p, q, 400.0) and d2(p, q) < 400.0 and (-q.size, q.id) < (-p.size, p.id)
+    assert sorted(r.id for r in track.local_peaks(d, 20.0).collect()) == sorted(p.id for p in rows if not any(beats(q, p) for q in rows))
+    kept = []
+    for p in sorted(rows, key=lambda p: (-(p.size or 0.0), p.id)):
+        if not any(beats(q, p) for q in kept):
+            kept.append(p)
+    assert sorted(r.id for r in track.suppressed(d, 20.0).collect()) == sorted(p.id for p in kept)
+
+
+@pytest.mark.parametrize("name", ["crowding", "knn_topk", "local_peaks", "suppressed_peaks"])
+def test_no_query_on_neighbours_joins_frames_with_themselves(spark, monkeypatch, name):
+    def never(*_, **__):
+        raise AssertionError("a join of all pairs within the gate")
+
+    monkeypatch.setattr(track, "around", never)
+    assert registry.queries()[name](spark, SF).limit(1).count() == 1
