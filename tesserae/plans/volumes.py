@@ -493,4 +493,4 @@ query(
     f"WITH {DET}, b AS (SELECT id, t, y, x, 10 + id % 20 AS half, size AS score FROM det), p AS (SELECT p.id, q.id AS other, p.half AS h, q.half AS g, greatest(least(p.y + p.half, q.y + q.half) - greatest(p.y - p.half, q.y - q.half), 0) * greatest(least(p.x + p.half, q.x + q.half) - greatest(p.x - p.half, q.x - q.half), 0) AS s FROM b p JOIN b q ON p.t = q.t AND (q.score > p.score OR (q.score = p.score AND q.id < p.id))) SELECT id, other FROM p WHERE s > 0 AND s / (4 * h * h + 4 * g * g - s) >= 0.1",
     lambda s, d: assign.overlapping_boxes(_boxes(s, d), 0.1, 30.0),
 )
-query("box_nms", None, lambda s, d: (lambda b: b.join(track.taken_away(assign.overlapping_boxes(b, 0.1, 30.0)), "id", "left_anti"))(_boxes(s, d)))
+query("box_nms", None, lambda s, d: assign.kept_boxes(_boxes(s, d), 0.1, 30.0))

@@ -65,3 +65,23 @@ def test_no_query_on_neighbours_joins_frames_with_themselves(spark, monkeypatch,
 
     monkeypatch.setattr(track, "around", never)
     assert registry.queries()[name](spark, SF).limit(1).count() == 1
+
+
+def test_kept_boxes_are_those_taken_one_after_another(spark, monkeypatch):
+    random.seed(4)
+    rows = [(i, i % 2, random.randint(0, 80), random.randint(0, 80), 3 + i % 6, float(random.randint(0, 5))) for i in range(300)]
+    d = spark.createDataFrame(rows, "id long, t int, y long, x long, half long, score double")
+
+    def never(*_, **__):
+        raise AssertionError("a table of all overlapping pairs")
+
+    monkeypatch.setattr(assign, "overlapping_boxes", never)
+    kept = []
+    for p in sorted(rows, key=lambda p: (-p[5], p[0])):
+        shared = [max(min(p[2] + p[4], q[2] + q[4]) - max(p[2] - p[4], q[2] - q[4]), 0) * max(min(p[3] + p[4], q[3] + q[4]) - max(p[3] - p[4], q[3] - q[4]), 0) for q in kept if q[1] == p[1]]
+        if not any(s > 0 and s / (4 * p[4] ** 2 + 4 * q[4] ** 2 - s) >= 0.1 for s, q in zip(shared, (q for q in kept if q[1] == p[1]), strict=True)):
+            kept.append(p)
+    assert sorted(r.id for r in assign.kept_boxes(d, 0.1, 8.0).collect()) == sorted(p[0] for p in kept)
+    monkeypatch.undo()
+    monkeypatch.setattr(track, "taken_away", never)
+    assert registry.queries()["box_nms"](spark, SF).limit(1).count() == 1
