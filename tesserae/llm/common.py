@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +49,8 @@ def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of whole rows whose texts take at most `limit` bytes, or of one row."""
+    """The batches in pieces of whole rows whose texts take at most `limit` bytes, or of one row. After the last one the worker
+    gives back what it has freed, as it stays for later stages, beside whose own memory that would count."""
     for batch in batches:
         size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64))
         at = 0
@@ -57,6 +59,15 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             to = max(at + 1, int(np.searchsorted(size, done + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    give_back()
+
+
+def give_back() -> None:
+    """Freed memory of Arrow and of the C library, back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
