@@ -10,6 +10,23 @@ from tesserae.operators import assign, near, track
 from tesserae.plans import registry
 
 
+@pytest.mark.parametrize(("n", "wide", "whole"), [(400, 60.0, True), (400, 300.0, False), (60, 0.0, True), (300, 2000.0, False)])
+def test_candidates_are_all_pairs_within_the_gate(spark, n, wide, whole):
+    d = _detections(spark, n, wide, whole, n)
+    rows = d.union(d.where("id < 9")).collect()  # repeated rows make repeated pairs
+    after = {0: 1, 1: 2, 2: 5}
+    want = []
+    for p in rows:
+        for q in rows:
+            if None not in (p.y, q.y) and q.t == after.get(p.t) and (p.y - q.y) ** 2 + (p.x - q.x) ** 2 <= 400.0:
+                top = None if None in (p.size, q.size) else max(p.size, q.size)
+                rel = abs(p.size - q.size) / top if top and top > 0 else 0.0
+                d2 = (p.y - q.y) ** 2 + (p.x - q.x) ** 2
+                want.append((p.id, q.id, p.t, q.t - p.t, d2, rel, d2 + 2.0 * rel))
+    got = track.candidates(spark.createDataFrame(rows, d.schema), 20.0, 2.0)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
 @pytest.mark.parametrize(("n", "wide", "whole"), [(400, 60.0, True), (400, 300.0, False)])
 def test_gap_candidates_are_all_pairs_of_open_ends(spark, n, wide, whole):
     d = _detections(spark, n, wide, whole, n)
@@ -23,7 +40,7 @@ def test_gap_candidates_are_all_pairs_of_open_ends(spark, n, wide, whole):
     assert want and sorted(tuple(r) for r in assign.gap_candidates(d, links, 20.0, 4).collect()) == sorted(want)
 
 
-@pytest.mark.parametrize("name", ["gap_candidates"])
+@pytest.mark.parametrize("name", ["candidates", "gap_candidates"])
 def test_pairs_are_not_joined(spark, name):
     """A join on buckets sends one side to nine of them; tiles are one shuffle without a join after it."""
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
