@@ -19,7 +19,7 @@ from ..functions.ragged import spread
 from ..sources.shared import stored
 from .connect import linked_components
 from .graph import contingency
-from .near import LINK_ROWS, Grid, Links, finite
+from .near import EPS, LINK_ROWS, Grid, Links, finite, listed, overlapping, tiled
 from .track import as_links, best_parents, bucketed, linkable, reached, starts_and_ends
 
 #: Slack for rounding in sums of costs along paths.
@@ -349,9 +349,14 @@ def _second(d: DataFrame, *more: str) -> DataFrame:
 
 def overlapping_boxes(d: DataFrame, least: float, most: float) -> DataFrame:
     """(id, other): boxes of one frame (half sides `half`, at most `most`) whose intersection over union is `least` at least, the
-    other with the larger score, or the same and the smaller id. Boxes meet in buckets of twice the largest half side."""
-    pair = reached(d, 2 * most, 1).join(_second(bucketed(d, 2 * most)), ["t", "by", "bx"])
-    return pair.where(_overlap(least) & F.expr(STRONGER)).select("id", F.col("id2").alias("other"))
+    other with the larger score, or the same and the smaller id. Pairs are listed in tiles of eight times the largest half side, so only
+    boxes are shuffled. A box without a place or a side overlaps none."""
+    ids = d.schema["id"].dataType
+    at = d.where(finite("y", "x", "half") & F.col("t").isNotNull() & F.col("score").isNotNull())
+    at = tiled(at.select("t", "id", *[F.col(c).cast("double").alias(c) for c in ("y", "x", "half")], "score"), 2 * most, 2 * most * (1 + EPS))
+    form = f"id {ids.simpleString()}, beats boolean, partners array<{ids.simpleString()}>"
+    found = listed(at, ["t", "ty", "tx"], form, lambda table: overlapping(table, least, most)).select("id", "beats", F.explode("partners").alias("p"))
+    return found.select(F.when(F.col("beats"), F.col("p")).otherwise(F.col("id")).alias("id"), F.when(F.col("beats"), F.col("id")).otherwise(F.col("p")).alias("other"))
 
 
 def _unbeaten(d: DataFrame, least: float, most: float) -> DataFrame:

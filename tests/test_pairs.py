@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -40,7 +42,26 @@ def test_gap_candidates_are_all_pairs_of_open_ends(spark, n, wide, whole):
     assert want and sorted(tuple(r) for r in assign.gap_candidates(d, links, 20.0, 4).collect()) == sorted(want)
 
 
-@pytest.mark.parametrize("name", ["candidates", "gap_candidates"])
+@pytest.mark.parametrize(("n", "wide", "least", "whole"), [(300, 80, 0.1, True), (300, 80, 0.5, False), (40, 0, 0.3, True), (1800, 400, 0.1, True), (300, 60, 0.0, True)])
+def test_overlapping_boxes_are_all_pairs(spark, n, wide, least, whole):
+    random.seed(n)
+    at = (lambda: float(random.randint(-wide, wide))) if whole else (lambda: random.uniform(-wide, wide))
+    rows = [(i if i % 50 else None, i % 2, at(), at(), 1.0 + random.randint(0, 7), random.choice([float(i % 7), float("nan")])) for i in range(n)]
+    d = spark.createDataFrame(rows, "id long, t int, y double, x double, half double, score double")
+    goes_first = lambda q, p: (q[5] == q[5], -q[5] if q[5] == q[5] else 0.0) < (p[5] == p[5], -p[5] if p[5] == p[5] else 0.0)
+    want = []
+    for p in rows:
+        for q in rows:
+            tied = not goes_first(q, p) and not goes_first(p, q)
+            if p is q or p[1] != q[1] or not (goes_first(q, p) or (tied and None not in (p[0], q[0]) and q[0] < p[0])):
+                continue
+            s = max(min(p[2] + p[4], q[2] + q[4]) - max(p[2] - p[4], q[2] - q[4]), 0.0) * max(min(p[3] + p[4], q[3] + q[4]) - max(p[3] - p[4], q[3] - q[4]), 0.0)
+            if s > 0 and s / (4 * p[4] ** 2 + 4 * q[4] ** 2 - s) >= least:
+                want.append((str(p[0]), str(q[0])))
+    assert want and sorted((str(r.id), str(r.other)) for r in assign.overlapping_boxes(d, least, 8.0).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["candidates", "gap_candidates", "box_overlaps"])
 def test_pairs_are_not_joined(spark, name):
     """A join on buckets sends one side to nine of them; tiles are one shuffle without a join after it."""
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
