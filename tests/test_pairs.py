@@ -85,3 +85,23 @@ def test_decimals_round_half_away_from_zero(spark, duck):
     got = [r.v for r in spark.createDataFrame([(v,) for v in values], "v double").select(pw.decimals(F.col("v"), 6).alias("v")).collect()]
     said = [duck.execute("select round(?::double, 6)", [v]).fetchone()[0] for v in values]
     assert [str(v) for v in got] == [str(v) for v in said]
+
+
+def test_candidates_stand_together_by_size(spark):
+    """In the order of starts nearly each row had another rel_size than the one before, so a written cost took eight bytes."""
+    rng = np.random.default_rng(3)
+    d = spark.createDataFrame([(i, i % 2, int(rng.integers(100)), int(rng.integers(100)), float(rng.integers(1, 20))) for i in range(2400)], "id long, t int, y long, x long, size double")
+    rel = np.array([r.rel_size for r in track.candidates(d, 20.0).select("rel_size").collect()])
+    assert len(rel) > 100_000 and np.count_nonzero(np.diff(rel)) < len(rel) / 10
+
+
+def test_pairs_by_size_are_those_by_start(monkeypatch):
+    monkeypatch.setattr(near, "CHUNK", 512)
+    monkeypatch.setattr(near, "ORDERED", 100)
+    rng = np.random.default_rng(4)
+    n = 300
+    size = rng.choice([1.0, 2.0, 5.0, np.nan], n)
+    table = pa.table({"id": np.arange(n), "t": np.arange(n) % 2, "t2": np.ones(n, int), "y": rng.random(n) * 40, "x": rng.random(n) * 40, "size": size, "known": rng.random(n) < 0.9, "side": np.arange(n) % 2, "ty": np.zeros(n, int), "tx": np.zeros(n, int)})
+    flat = [tuple(r.values()) for b in near.by_size(table, 20.0) for r in b.to_pylist()]
+    want = [(i, p["id"], t, p["t"], p["d2"], p["rel"]) for b in near.linkable(table, 20.0) for i, t, ps in zip(*(b.column(c).to_pylist() for c in ("id", "t", "partners")), strict=True) for p in ps]
+    assert len(want) > 1000 and sorted(map(repr, flat)) == sorted(map(repr, want))
