@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 from test_near import _detections
 
 from tesserae.operators import assign, track
@@ -43,3 +44,24 @@ def test_assigned_links_make_no_table_of_candidates(spark, monkeypatch):
 
     monkeypatch.setattr(track, "candidates", never)
     assert registry.queries()["assigned_links"](spark, SF).limit(1).count() == 1
+
+
+@pytest.mark.parametrize(("n", "wide", "alone"), [(1200, 200.0, 150.0), (600, 300.0, 40.0)])
+def test_a_crowded_pair_of_frames_is_solved_in_tiles(spark, monkeypatch, n, wide, alone):
+    """It was one task, whose memory grew with the frame; now a tile's, and only what leads out of it goes on to wider ones."""
+    sent, was = [], assign.listed
+
+    def seen(points, keys, *more):
+        sent.append(points.groupBy(*keys).count().agg(F.max("count")).first()[0])
+        return was(points, keys, *more)
+
+    monkeypatch.setattr(assign, "listed", seen)
+    monkeypatch.setattr(assign, "FIRST", 50)
+    d = _detections(spark, n, wide, False, n)
+    found = {(r.from_id, r.to_id): r for r in track.candidates(d, 20.0).collect()}
+    want = assign.assigned_links(spark.createDataFrame(list(found.values()), track.candidates(d, 20.0).schema), alone).collect()
+    got = assign.assigned_best(d, 20.0, alone).collect()
+    assert len(sent) > 1 and sent[0] < n / 3
+    assert all(tuple(r) == tuple(found[r.from_id, r.to_id]) for r in got)
+    assert len({r.from_id for r in got}) == len({r.to_id for r in got}) == len(got)
+    assert abs(sum(r.cost - 2 * alone for r in got) - sum(r.cost - 2 * alone for r in want)) < 1e-6
